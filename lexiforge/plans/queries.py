@@ -164,12 +164,12 @@ def todo_anti(spark, sf):
     return relational.missing_from(read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels"), "doc_id")
 
 
-@query("""WITH r AS (SELECT o_custkey % 50 AS block, o_custkey, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey)
-SELECT l.l_orderkey, l.l_linenumber, r.o_custkey FROM lineitem l JOIN r ON l.l_orderkey % 50 = r.block AND l.l_orderkey BETWEEN r.lo AND r.hi WHERE r.hi - r.lo < 1000""")
+@query("""WITH r AS (SELECT o_orderkey // 64 AS range_id, o_orderkey // 1024 AS block, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY ALL)
+SELECT l.l_orderkey, l.l_linenumber, r.range_id FROM lineitem l JOIN r ON l.l_orderkey // 1024 = r.block AND l.l_orderkey BETWEEN r.lo AND r.hi""")
 def range_locate(spark, sf):
-    ranges = read(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).where("hi - lo < 1000").withColumn("block", F.expr("o_custkey % 50"))
-    points = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_orderkey % 50").alias("block"))
-    return relational.range_locate(points, ranges, "block", "l_orderkey", "lo", "hi").select("l_orderkey", "l_linenumber", "o_custkey")
+    ranges = read(spark, sf, "orders").groupBy(F.expr("o_orderkey div 64").alias("range_id"), F.expr("o_orderkey div 1024").alias("block")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    points = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_orderkey div 1024").alias("block"))
+    return relational.range_locate(points, ranges, "block", "l_orderkey", "lo", "hi").select("l_orderkey", "l_linenumber", "range_id")
 
 
 @query("SELECT d.doc_id, coalesce(a.quality, b.quality) AS quality FROM documents d LEFT JOIN labels a ON d.doc_id = a.doc_id LEFT JOIN labels b ON d.doc_id + 1 = b.doc_id")
@@ -279,29 +279,28 @@ def first_last_event(spark, sf):
 # sequences
 
 
-_FLAGS = "f AS (SELECT l_orderkey, l_linenumber, l_returnflag AS w, l_quantity > 25 AS flag FROM lineitem)"
+#: Line numbers repeat within an order, so a place is the line number with what tells its rows apart.
+_PLACE = "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity as bigint)"
+_FLAGS = f"f AS (SELECT l_orderkey, {_PLACE} AS place, l_returnflag AS w, l_quantity > 25 AS flag FROM lineitem)"
 
 
-@query(f"WITH {_FLAGS} SELECT l_orderkey, l_linenumber, CASE WHEN NOT flag THEN 'O' WHEN coalesce(lag(flag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), false) THEN 'I' ELSE 'B' END AS bio FROM f")
+@query(f"WITH {_FLAGS} SELECT l_orderkey, place, CASE WHEN NOT flag THEN 'O' WHEN coalesce(lag(flag) OVER (PARTITION BY l_orderkey ORDER BY place), false) THEN 'I' ELSE 'B' END AS bio FROM f")
 def bio_tags(spark, sf):
-    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).alias("flag"))
-    return sequences.bio_tags(rows, "l_orderkey", "l_linenumber", "flag").select("l_orderkey", "l_linenumber", "bio")
+    rows = read(spark, sf, "lineitem").select("l_orderkey", F.expr(_PLACE).alias("place"), (F.col("l_quantity") > 25).alias("flag"))
+    return sequences.bio_tags(rows, "l_orderkey", "place", "flag").select("l_orderkey", "place", "bio")
 
 
-@query(f"""WITH {_FLAGS}, g AS (SELECT *, sum(CASE WHEN flag AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM (SELECT *, lag(flag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM f))
-SELECT l_orderkey, min(l_linenumber) AS start, count(*) AS n, string_agg(w, ' ' ORDER BY l_linenumber) AS phrase FROM g WHERE flag GROUP BY l_orderkey, run""")
+@query(f"""WITH {_FLAGS}, g AS (SELECT *, sum(CASE WHEN flag AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY place) AS run FROM (SELECT *, lag(flag) OVER (PARTITION BY l_orderkey ORDER BY place) AS p FROM f))
+SELECT l_orderkey, min(place) AS start, count(*) AS n, string_agg(w, ' ' ORDER BY place) AS phrase FROM g WHERE flag GROUP BY l_orderkey, run""")
 def bio_runs(spark, sf):
-    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("w"), (F.col("l_quantity") > 25).alias("flag"))
-    tagged = sequences.bio_tags(rows, "l_orderkey", "l_linenumber", "flag")
-    return sequences.tag_runs(tagged, "l_orderkey", "l_linenumber", "w", "bio")
+    rows = read(spark, sf, "lineitem").select("l_orderkey", F.expr(_PLACE).alias("place"), F.col("l_returnflag").alias("w"), (F.col("l_quantity") > 25).alias("flag"))
+    tagged = sequences.bio_tags(rows, "l_orderkey", "place", "flag")
+    return sequences.tag_runs(tagged, "l_orderkey", "place", "w", "bio")
 
 
 # vectors
 
 
-_DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
-
-
 @query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY vec_id),
 d AS (SELECT a.vec_id AS query, b.vec_id, sum(a.x * b.x) AS d FROM e a JOIN e b USING (i) WHERE a.vec_id < 5 GROUP BY ALL),
 s AS (SELECT query, d.vec_id, round(d / na.n / nb.n, 7) AS score FROM d JOIN n na ON na.vec_id = query JOIN n nb ON nb.vec_id = d.vec_id)
