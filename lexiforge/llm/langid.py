@@ -51,8 +51,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     # A share of each language that holds more than enough rows, so that the order below sorts few at any size.
+    # Broadcast: one row for each language, of which the model holds COLUMNS numbers anyway.
     sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("_lang"), (F.lit(float(1 << 40)) * (1.25 * per_language + 100) / F.col("rows")).alias("below"))
-    drawn = usable.withColumn("draw", draw).join(sizes, (F.col("lang") == F.col("_lang")) & (F.col("draw") <= F.col("below"))).select("lang", "text", "draw", "doc_id")
+    drawn = usable.withColumn("draw", draw).join(F.broadcast(sizes), (F.col("lang") == F.col("_lang")) & (F.col("draw") <= F.col("below"))).select("lang", "text", "draw", "doc_id")
     spread = Window.partitionBy("lang").orderBy("draw", "doc_id")
     some = drawn.withColumn("nth", F.row_number().over(spread)).where(F.col("nth") <= per_language).select("lang", "text")
 
