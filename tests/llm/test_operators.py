@@ -181,6 +181,24 @@ def test_line_dedup(spark, docs, hard):
     assert linededup.apply(empty(hard)).count() == 0
 
 
+def test_short_lines_with_one_word_changed(spark):
+    """Lines of 12 to 23 words, one of them replaced: what reaches 0.8 on runs of five characters is found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10)))
+    runs = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    rows, near = [], []
+    for i in range(400):
+        words = [word() for _ in range(rng.randrange(12, 24))]
+        other = list(words)
+        other[rng.randrange(len(words))] = word()
+        a, b = " ".join(words), " ".join(other)
+        rows += [(2 * i, a, "en", "s"), (2 * i + 1, b, "en", "s")]
+        if len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b)):
+            near.append(2 * i + 1)
+    got = {r.doc_id for r in linededup.dropped_lines(table(spark, rows)).collect()}
+    assert len(near) > 150 and got <= set(near) and len(got) >= 0.98 * len(near)
+
+
 # 4 neighbours
 
 
