@@ -6,7 +6,9 @@ Spans of the base kinds stay whatever their score; the added kinds (iban, ssn) n
 score of `threshold`.
 
 Patterns are bounded against long runs: an address is only tried where its run of
-characters starts or the last match ended, and repeats don't give back.
+characters starts or the last match ended, and repeats don't give back. An account
+number is as long as its country's are, whatever follows it; that of a country not
+listed ends where mod 97 holds, the longest first.
 
 Defined cases: null text is empty; every span counts, repeated values too; kinds may
 overlap; spans of one kind don't; places are code points, the end exclusive; repeated
@@ -27,8 +29,17 @@ BASE = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.8),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6),
 }
+#: Length of a bank account number -> the countries that use it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(sorted(c for names in IBAN_LENGTHS.values() for c in names.split()))
+_BY_COUNTRY = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 ADDED = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8),
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_COUNTRY}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", 0.8),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3),
 }
 #: Words that make a span of a kind more likely.
@@ -72,6 +83,15 @@ def mod97(value: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda acc, v: (acc * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
 
 
+def whole_iban(m: Column) -> Column:
+    """A match whose country has no listed length, cut before a blank to its longest part that mod 97 confirms; any other as it is."""
+    words = F.split(m["value"], " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    part = F.get(F.filter(parts, lambda p: (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 15) & mod97(p)), F.lit(0))
+    cut = F.struct(m["start"].alias("start"), (m["start"] + F.length(part)).alias("end"), part.alias("value"))
+    return F.when(m["value"].rlike(f"^(?:{_LISTED})") | part.isNull(), m).otherwise(cut)
+
+
 VALID = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: F.forall(F.split(v, r"\."), lambda part: F.regexp_replace(part, "^0+", "").rlike("^(?:|[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")),
@@ -114,7 +134,8 @@ def find(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRE
     rows = rows.select("*", *[c.alias(f"_{k}") for k, c in found.items()])
     parts = []
     for rank, (kind, (_, score)) in enumerate(kinds.items()):
-        spans = F.transform(F.filter(f"_{kind}", _valid(kind)), _span(kind, rank, score))
+        proposed = F.transform("_iban", whole_iban) if kind == "iban" else F.col(f"_{kind}")
+        spans = F.transform(F.filter(proposed, _valid(kind)), _span(kind, rank, score))
         parts.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= threshold))
     return rows.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(*parts)).alias("spans"))
 

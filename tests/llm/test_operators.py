@@ -449,6 +449,20 @@ def test_pii(spark, docs, hard):
     assert pii.redact(made).columns == made.columns
 
 
+def test_ibans_in_running_text(spark):
+    """Capitals and numbers that follow an account number are no part of it."""
+    cases = ["IBAN GB29NWBK60161331926819 Barclays bank", "IBAN DE89370400440532013000 12 May", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "GB29NWBK60161331926819 BARCLAYS", "no number", "DE89370400440532013000 GB29NWBK60161331926819", "DE89370400440532013001 12 May", "DE893704004405320130001"]
+    made = table(spark, [(i, t, None, None) for i, t in enumerate(cases)])
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find(made.drop("spans"), ["doc_id", "text"]).collect()}
+    assert got[0] == got[3] == ["GB29NWBK60161331926819"] and got[1] == ["DE89370400440532013000"]
+    assert got[2] == ["DE89 3704 0044 0532 0130 00"] and got[6] == got[7] == []
+    zz = next(f"ZZ{n:02}370400440532013000" for n in range(100) if (370400440532013000 * 10**6 + 353500 + n) % 97 == 1)
+    assert got[4] == [] and got[5] == ["DE89370400440532013000", "GB29NWBK60161331926819"]
+    own = table(spark, [(1, f"{zz} 12 May", None, None), (2, f"{zz} BANK", None, None)]).drop("spans")
+    assert [[r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find(own, ["doc_id", "text"]).collect()] == [[zz], [zz]]
+    assert {r.text for r in pii.redact(own).collect()} == {"<iban> 12 May", "<iban> BANK"}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
