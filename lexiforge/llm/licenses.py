@@ -8,6 +8,14 @@ t / (2 - t) and (2 - t) / t times the unit's are compared. Before that a unit mu
 hold one of a few telling words: of each template the words are chosen so that more
 than 1 - t / (2 - t) of its bigrams hold one, which no match can do without.
 
+A notice may also be a run of lines within a longer text or paragraph, of several
+paragraphs too. A text that holds at least t / (2 - t) of a template's bigrams, as it
+must for any part of it to match, is searched: from each line with a word of the
+template, lines are added until the set is larger than the size bound, and the best end
+is kept. Of overlapping runs of one licence the best stays, the first and shortest of
+equals; it is a unit 'lines', numbered by its first line, unless it is a line,
+paragraph or text, which are units of their own.
+
 Defined cases: null or empty text has no unit and no match; one-word units have
 no bigram; repeated bigrams count once; ties between templates go to the first
 name; repeated rows repeat their matches; other columns are not read.
@@ -51,6 +59,10 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
 
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+for _name in ("BSD-2-Clause", "BSD-3-Clause"):
+    TEMPLATES[_name].append(f"{TEMPLATES[_name][-1]} {_BSD_DISCLAIMER}")
+
 THRESHOLD = 0.8
 _COMMON = {"the", "of", "and", "to", "in", "a", "this", "is", "or", "with", "for", "by", "under", "at", "be", "you", "that", "it", "an", "on", "no", "as", "are", "if", "can", "not", "was", "any", "all", "one"}
 
@@ -85,13 +97,63 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " "))
 
 
+def _runs(template: Column, threshold: float) -> Column:
+    """Runs (start, stop, score) of _lines, arrays of words, that match a template: of each first line the best."""
+    n = template["n"]
+    none = F.struct(F.expr("cast(array() as array<string>)").alias("grams"), F.lit("").alias("last"), F.lit(-1).alias("at"), F.lit(0.0).alias("score"), F.lit(-1).alias("stop"))
+
+    def add(acc: Column, words: Column) -> Column:
+        chain = F.when(acc["last"] == "", words).otherwise(F.concat(F.array(acc["last"]), words))
+        more = F.when(F.size(chain) > 1, F.zip_with(F.slice(chain, F.lit(1), F.size(chain) - 1), F.slice(chain, F.lit(2), F.size(chain) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(none["grams"])
+        grams = F.array_union(acc["grams"], more)
+        after = F.struct(grams.alias("grams"), F.coalesce(F.get(words, F.size(words) - 1), acc["last"]).alias("last"), (acc["at"] + 1).alias("at"), acc["score"].alias("score"), acc["stop"].alias("stop"))
+
+        def scored(x: Column) -> Column:
+            score = F.size(F.array_intersect(x["grams"], template["grams"])) * 2.0 / (F.size(x["grams"]) + n)
+            better = score > x["score"]
+            return F.struct(x["grams"].alias("grams"), x["last"].alias("last"), x["at"].alias("at"), F.when(better, score).otherwise(x["score"]).alias("score"), F.when(better, x["at"]).otherwise(x["stop"]).alias("stop"))
+
+        # A set that is too large stays so: nothing more is added.
+        return F.when(F.size(acc["grams"]) > n * (2 - threshold) / threshold + 1e-9, acc).otherwise(F.get(F.transform(F.array(after), scored), F.lit(0)))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.arrays_overlap(F.get(F.col("_lines"), i), template["words"]))
+    found = F.transform(starts, lambda i: F.aggregate(F.slice(F.col("_lines"), i + 1, F.size("_lines")), none, add, lambda acc: F.struct((-acc["score"]).alias("minus"), i.alias("start"), (acc["stop"] + i).alias("stop"))))
+    return F.filter(found, lambda r: -r["minus"] >= threshold)
+
+
+def _windows(docs: DataFrame, table: Column, pairs: Column, threshold: float, text: str) -> DataFrame:
+    """(doc_id, unit, unit_no, license, score) of runs of lines that are no unit themselves; `pairs` are the bigrams of a column words."""
+    # Each step is exploded as one row, so that no condition works it out again.
+    once = lambda column, name: F.explode(F.array(column)).alias(name)
+    every = F.array_distinct(F.flatten(F.transform(table, lambda t: t["grams"])))
+    held = docs.select("doc_id", F.col(text), once(F.split(normalised(F.col(text)), " "), "words")).where(F.size("words") > 1)
+    held = held.select("doc_id", F.col(text), once(F.array_intersect(pairs, every), "_hits")).where(F.size("_hits") > 0)
+    least = threshold / (2 - threshold)
+    near = F.filter(table, lambda t: (F.size("_hits") >= t["n"] * least - 1e-9) & (F.size(F.array_intersect("_hits", t["grams"])) >= t["n"] * least - 1e-9))
+    held = held.select("doc_id", F.col(text), once(near, "_near")).where(F.size("_near") > 0)
+    raw = F.split(F.col(text), "\n")
+    held = held.select("doc_id", "_near", F.transform(raw, lambda x: F.filter(F.split(normalised(x), " "), lambda w: w != "")).alias("_lines"), F.transform(raw, lambda x: x.rlike(r"\A[ \t\r]*+\z")).alias("_blank"))
+    named = F.transform(F.array_distinct(F.transform("_near", lambda t: t["license"])), lambda name: F.struct(name.alias("license"), F.array_sort(F.flatten(F.transform(F.filter("_near", lambda t: t["license"] == name), lambda t: _runs(t, threshold)))).alias("runs")))
+    rows = held.select("doc_id", "_lines", "_blank", F.explode(named).alias("m"))
+    apart = F.aggregate("m.runs", F.expr("cast(array() as array<struct<minus:double,start:int,stop:int>>)"), lambda acc, r: F.when(F.exists(acc, lambda x: (x["start"] <= r["stop"]) & (r["start"] <= x["stop"])), acc).otherwise(F.concat(acc, F.array(r))))
+    rows = rows.select("doc_id", "_lines", "_blank", "m.license", F.explode(apart).alias("r"))
+    part = lambda column, a, b: F.slice(F.col(column), a + 1, F.greatest(b - a, F.lit(0)))
+    wordless = lambda a, b: F.forall(part("_lines", a, b), lambda x: F.size(x) == 0)
+    start, stop, size = F.col("r.start"), F.col("r.stop") + 1, F.size("_lines")
+    text_itself = wordless(F.lit(0), start) & wordless(stop, size)
+    edge = lambda i: F.coalesce(F.get(F.col("_blank"), i), F.lit(True))
+    paragraph = F.when(start > 0, edge(start - 1)).otherwise(True) & edge(stop) & ~F.exists(part("_blank", start, stop), lambda x: x)
+    rows = rows.where((stop - start > 1) & ~text_itself & ~paragraph)
+    return rows.select("doc_id", F.lit("lines").alias("unit"), start.alias("unit_no"), "license", (-F.col("r.minus")).alias("score"))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs' columns doc_id, then unit ('line', 'paragraph', 'text'), unit_no, license, score.
+    """docs' columns doc_id, then unit ('line', 'paragraph', 'text', 'lines'), unit_no, license, score.
 
     One row for each unit and licence that match; no shuffle.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(grams)).alias("n"), F.array(*[F.lit(g) for g in sorted(grams)]).alias("grams")) for name in sorted(templates) for grams in map(bigrams, templates[name])])
+    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(grams)).alias("n"), F.array(*[F.lit(g) for g in sorted(grams)]).alias("grams"), F.array(*[F.lit(w) for w in sorted({w for g in grams for w in g.split()})]).alias("words")) for name in sorted(templates) for grams in map(bigrams, templates[name])])
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), F.col(text).alias("part")))
     paragraphs = F.split(F.col(text), r"\n[ \t\r]*+\n")
     numbered = lambda kind, parts: F.transform(parts, lambda part, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), part.alias("part")))
@@ -102,13 +164,15 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
         F.when(F.size(lines) > 1, whole).otherwise(F.filter(whole, lambda _: F.lit(False))),
     )
     telling = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(telling_words(templates, threshold)) + r")(?![\p{L}\p{N}])"
-    some = docs.where(F.col(text).isNotNull() & F.col(text).rlike(telling)).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
+    held = docs.where(F.col(text).isNotNull() & F.col(text).rlike(telling))
+    some = held.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
     some = some.where(F.col("part").rlike(telling)).select("doc_id", "unit", "unit_no", F.split(normalised(F.col("part")), " ").alias("words"))
     pairs = F.expr("array_distinct(zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)))")
     some = some.where(F.size("words") > 1).withColumn("grams", pairs).withColumn("n", F.size("grams"))
     near = F.filter(table, lambda t: (t["n"] >= F.col("n") * low - 1e-9) & (t["n"] <= F.col("n") * high + 1e-9))
     scored = F.transform(near, lambda t: F.struct(t["license"].alias("license"), (F.size(F.array_intersect(F.col("grams"), t["grams"])) * 2.0 / (F.col("n") + t["n"])).alias("score")))
-    return some.select("doc_id", "unit", "unit_no", F.explode(scored).alias("m")).where(F.col("m.score") >= threshold).groupBy("doc_id", "unit", "unit_no", "m.license").agg(F.max("m.score").alias("score"))
+    matched = some.select("doc_id", "unit", "unit_no", F.explode(scored).alias("m")).where(F.col("m.score") >= threshold).groupBy("doc_id", "unit", "unit_no", "m.license").agg(F.max("m.score").alias("score"))
+    return matched.union(_windows(held.where(F.col(text).contains("\n")), table, pairs, threshold, text))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

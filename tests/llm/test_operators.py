@@ -115,6 +115,23 @@ def test_licenses(spark, docs, hard):
     assert licenses.scan(empty(hard)).count() == 0
 
 
+def test_notices_within_longer_texts(spark):
+    """Notices of several lines or paragraphs before, after and between other lines."""
+    gpl = licenses.TEMPLATES["GPL-3.0"][1].replace(" This program is distributed", "\n\nThis program is distributed").replace(" without even", "\nwithout even")
+    gpl += "\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see the site of the foundation."
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][-1].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")
+    code = "\n".join(f"x{i} = f{i}(y{i}, z{i}) + {i}" for i in range(100))
+    apache = licenses.TEMPLATES["Apache-2.0"][1].replace(" you may", "\nyou may").replace(" Unless", "\nUnless")
+    rows = [f"{gpl}\n{code}", f"{bsd}\n{code}", bsd, f"{code}\n{apache}\n{code}", f"{code}\n{bsd}\n{code}\n{bsd}", code]
+    got = {}
+    for r in licenses.scan(table(spark, [(i, t, None, None) for i, t in enumerate(rows)])).collect():
+        got.setdefault(r.doc_id, set()).add((r.unit, r.unit_no, r.license))
+    assert got[0] == {("lines", 0, "GPL-3.0")}
+    assert ("lines", 0, "BSD-2-Clause") in got[1] and ("text", 0, "BSD-2-Clause") in got[2]
+    assert got[3] == {("line", 100, "Apache-2.0"), ("lines", 100, "Apache-2.0")}
+    assert {("lines", 100, "BSD-2-Clause"), ("lines", 207, "BSD-2-Clause")} <= got[4] and 5 not in got
+
+
 def test_telling_words():
     """No match can lack all telling words."""
     words = set(licenses.telling_words(licenses.TEMPLATES, 0.8))
