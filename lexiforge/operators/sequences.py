@@ -77,6 +77,33 @@ def join_phrases(rows: DataFrame, tokens: str, phrases: list[tuple[str, ...]], l
     return rows.withColumn("joined", F.pandas_udf(batches, "string")(F.col(tokens)))
 
 
+def join_pairs(rows: DataFrame, row_id: str, tokens: str, pairs: DataFrame) -> DataFrame:
+    """Adds joined: tokens with the neighbours in `pairs` (a, b) joined by '_', greedily from the left.
+
+    The pairs are met by a join, so that there may be any number of them.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64(row_id, tokens))
+    size = F.greatest(F.size(tokens) - 1, F.lit(0))
+    both = F.arrays_zip(F.slice(tokens, F.lit(1), size).alias("a"), F.slice(tokens, F.lit(2), size).alias("b"))
+    places = keyed.select(row_id, "_key", F.posexplode(both).alias("at", "p")).select(F.col(row_id).alias("_id"), F.col("_key").alias("_own"), "at", "p.a", "p.b")
+    hits = places.join(pairs.select("a", "b").distinct(), ["a", "b"]).groupBy("_id", "_own").agg(F.collect_set("at").alias("_hits"))
+
+    def joined(words: list[str], hits: set[int]) -> str:
+        out, at = [], 0
+        while at < len(words):
+            n = 2 if at in hits else 1
+            out.append("_".join(words[at : at + n]))
+            at += n
+        return " ".join(out)
+
+    def batches(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for words, hits in it:
+            yield pd.Series([None if w is None else joined(list(w), set(h) if h is not None else set()) for w, h in zip(words, hits)], dtype=object)
+
+    met = keyed.join(hits, F.col(row_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")), "left")
+    return met.withColumn("joined", F.pandas_udf(batches, "string")(F.col(tokens), F.col("_hits"))).drop("_key", "_id", "_own", "_hits")
+
+
 def tag_title(rows: DataFrame, tokens: str, title: str) -> DataFrame:
     """Adds tags: BIO of the title's words found in the tokens, by prefix and without case, greedy."""
 

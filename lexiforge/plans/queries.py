@@ -87,10 +87,10 @@ def phrase_score(spark, sf):
 
 @query()
 def join_phrases(spark, sf):
-    """Documents with the strongest word pairs joined; phrases are a short list."""
+    """Documents with the word pairs joined that score over 100, the default of phrase learning."""
     lines = read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    pairs = sequences.bigram_scores(lines, "t").orderBy(F.desc("score"), "a", "b").limit(200).collect()  # a vocabulary of stated size
-    return sequences.join_phrases(lines, "t", [(r.a, r.b) for r in pairs]).select("doc_id", "joined")
+    pairs = sequences.bigram_scores(lines, "t").where("score > 100")
+    return sequences.join_pairs(lines, "doc_id", "t", pairs).select("doc_id", "joined")
 
 
 @query(f"""WITH e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), x AS (SELECT * FROM e WHERE t <> ''),

@@ -37,6 +37,19 @@ def test_sequences(spark):
     assert sequences.merge_subtokens(["[CLS]", "ab", "##c", "d"], ["O", "B", "I", "O"]) == [("abc", "B"), ("d", "O")]
 
 
+def test_every_pair_over_the_threshold_is_joined(spark, tmp_path):
+    """300 pairs score over 100 here; each is joined, from the left."""
+    from lexiforge.plans import queries as Q
+
+    texts = [(i, " ".join([f"a{i} b{i}"] * 2 + ["x y z"[: 1 + 2 * (i % 3)]])) for i in range(300) for _ in range(4)] + [(900, None), (901, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.joined for r in Q.join_phrases(spark, str(tmp_path)).collect()}
+    assert all(got[i].startswith(f"a{i}_b{i} a{i}_b{i}") for i in range(300)) and got[901] == "" and got[900] is None
+    rows = spark.createDataFrame([(1, ["a", "b", "c", "d"])], "id int, t array<string>")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "a string, b string")
+    assert sequences.join_pairs(rows, "id", "t", pairs).first().joined == "a_b c_d"
+
+
 def test_measures(spark):
     rows = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 8)], "v double")
     assert [r.n for r in measures.equal_width_histogram(rows, "v", 4).orderBy("bin").collect()] == [3, 0, 0, 1]
