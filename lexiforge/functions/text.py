@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +13,14 @@ from pyspark.sql import functions as F
 SPACED = [",", ".", ";", ":", "?", "!", "(", ")"]
 DROPPED = ["[", "]", "{", "}", '"', "'", "^", "\\"]
 
+#: Letters and marks that have no decomposition, in ASCII.
+_LATIN = str.maketrans({
+    "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th",
+    "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "ng", "Ŋ": "NG", "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "«": "<<", "»": ">>",
+    "‹": "<", "›": ">", "‐": "-", "‒": "-", "–": "-", "—": "--", "−": "-", "×": "x", "÷": "/", "¡": "!", "¿": "?", "·": ".", "•": "*", "€": "EUR", "£": "GBP",
+    "©": "(c)", "®": "(r)", "°": "deg", "§": "SS", "⁄": "/",
+})
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
@@ -19,9 +31,26 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def ascii_form(text: str) -> str:
+    """Compatible decomposition without combining marks, then a table; what neither maps stays."""
+    parts = unicodedata.normalize("NFKD", text.translate(_LATIN))
+    return "".join(c for c in parts if not unicodedata.combining(c)).translate(_LATIN)
+
+
+def transliterate(text: Column) -> Column:
+    def batches(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in it:
+            yield column.map(lambda x: None if x is None else ascii_form(x))
+
+    odd = text.rlike(r"[^\x00-\x7f]")
+    # ASCII texts don't go to Python.
+    return F.when(odd, F.pandas_udf(batches, "string")(F.when(odd, text))).otherwise(text)
+
+
 def normalize_text(text: Column, mode: str = "space") -> Column:
-    """Line-break tags and digits to blanks, marks spaced (mode 'space') or dropped ('drop'), blanks collapsed, lower case."""
+    """Line-break tags and digits to blanks, letters to ASCII, marks spaced (mode 'space') or dropped ('drop'), blanks collapsed, lower case."""
     out = F.regexp_replace(F.regexp_replace(text, r"<br\s*/?>", " "), "[0-9]+", " ")
+    out = transliterate(out)
     if mode == "drop":
         out = F.translate(F.replace(out, F.lit("-"), F.lit(" ")), "".join(SPACED + DROPPED), "")
     else:

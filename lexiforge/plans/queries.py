@@ -417,6 +417,12 @@ def normalize_text(spark, sf):
     return docs.select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
+@query()
+def normalize_text_all(spark, sf):
+    """All documents; SQL has no transliteration, so normalize_text and its SQL keep to ASCII ones."""
+    return read(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+
+
 @query("SELECT p_partkey, regexp_replace(trim(lower(regexp_replace(regexp_replace(replace(regexp_replace(p_name, '[0-9]+', ' ', 'g'), '-', ' '), '[,.;:?!()\\[\\]{}\"''^\\\\]', '', 'g'), '[ \\t]+', ' ', 'g'))), ' +', '_', 'g') AS phrase FROM part")
 def normalize_phrase(spark, sf):
     return read(spark, sf, "part").select("p_partkey", T.normalize_phrase(F.col("p_name")).alias("phrase"))

@@ -23,6 +23,28 @@ def test_text_functions(spark):
     assert one(spark, None, T.normalize_text) is None
 
 
+def test_normal_form_of_all_documents(spark, sf):
+    import re
+    import unicodedata
+
+    from lexiforge.plans import queries as Q
+
+    assert one(spark, "Théorème, Größe – Ångström “Niño” Łódź ﬁeld", T.normalize_text) == "theoreme , grosse - angstrom nino lodz field"
+    assert one(spark, "Übung_é", T.normalize_phrase) == "ubung_e"
+
+    def plain(text):
+        out = re.sub("[0-9]+", " ", re.sub(r"<br\s*/?>", " ", text)).replace("ß", "ss").replace("¿", "?").replace("¡", "!")
+        out = "".join(c for c in unicodedata.normalize("NFKD", out) if not unicodedata.combining(c))
+        out = re.sub(r"([,.;:?!()])", r" \1 ", re.sub(r"[\[\]{}\"'^\\]", "", out))
+        return re.sub("[ \t]+", " ", out).lower().strip(" ")
+
+    texts = {r.doc_id: r.text for r in Q.read(spark, sf, "documents").collect()}
+    got = {r.doc_id: r.text for r in Q.normalize_text_all(spark, sf).collect()}
+    plain_letters = {i for i, t in texts.items() if t is not None and not set(re.sub(r"[\x00-\x7f]", "", t)) - set("äöüÄÖÜßéèêëàâçîïôùûñáíóúÉ¿¡")}
+    assert set(got) == set(texts) and len(plain_letters) > len(texts) // 2
+    assert any(not texts[i].isascii() for i in plain_letters) and all(got[i] == plain(texts[i]) for i in plain_letters)
+
+
 def test_sequences(spark):
     rows = spark.createDataFrame([(1, i, w, f) for i, (w, f) in enumerate([("a", True), ("x", False), ("b", True), ("b", True)])], "g int, p int, w string, f boolean")
     tagged = sequences.bio_tags(rows, "g", "p", "f")
