@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,23 +31,67 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+    """Tables written to the shared folder, which cut lineage and survive lost executors.
+
+    They go when `release` is called, or with the Python process, for the results that
+    operators return read them.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
+        Scratch.made.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The table written and read again; with `by`, stored in buckets of that column, so that joins on it need not move its rows."""
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        if by is None:
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        table = f"lexiforge_{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
+    def drop(self, name: str | None = None) -> None:
+        """Deletes one table, or all."""
+        for key in [name] if name else list(self.tables):
+            if key in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(key)}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(since: int = 0) -> None:
+    """Drops the scratch tables made after the first `since`; results that read them can't be read any more."""
+    while len(Scratch.made) > since:
+        scratch = Scratch.made.pop()
+        if scratch.spark.sparkContext._jsc is not None:
+            scratch.drop()
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the JVM is gone; its folder's owner cleans up
+        Scratch.made.clear()
+
+
+def packed(docs: DataFrame, **beside: Column) -> DataFrame:
+    """The rows of docs in one struct `row`, so that no name of theirs meets one of an operator's, and columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in beside.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str], out: dict[str, Column] | None = None) -> DataFrame:
+    """The columns `names` of the packed rows and those of `out`, which replace or follow them."""
+    out = out or {}
+    return rows.select(*[(out[c] if c in out else F.col(f"row.`{c}`")).alias(c) for c in names], *[v.alias(k) for k, v in out.items() if k not in names])
+
+
 def text_key(text: str = "text", doc_id: str = "doc_id") -> Column:
     """Tells rows apart that share a doc_id; rows equal in both are one document."""
     return F.xxhash64(F.col(doc_id), F.col(text))

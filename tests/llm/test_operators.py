@@ -145,7 +145,7 @@ def test_telling_words():
 
 
 def plain_shingles(line):
-    return {m[1] for m in re.finditer(linededup._SHINGLE, line)}
+    return {line[i : i + linededup.SPAN] for i in range(max(len(line) - linededup.SPAN, 0) + 1)}
 
 
 def plain_normal(line):
@@ -190,7 +190,7 @@ def test_line_dedup(spark, docs, hard):
                     first.setdefault(plain[plain_normal(line)], (i, n))
         want = {(i, n) for i, text in rows for n, line in enumerate(text.split("\n")) if plain_normal(line) and first[plain[plain_normal(line)]] != (i, n)}
         got = {(r.doc_id if r.doc_id is not None else -1, r.line_no) for r in linededup.dropped_lines(df).collect()}
-        assert len(want ^ got) <= 0.002 * len(want)
+        assert len(want ^ got) <= 0.01 * len(want)
     left = {r.doc_id: r.text for r in linededup.apply(made).collect()}
     assert left[0] == base.replace("word", "w0rd") + "\nown line number 0 alone here\n" and len(left) == 40
     assert all(left[i] in (f"own line number {i} alone here\n", "") for i in range(1, 40))
@@ -216,6 +216,40 @@ def test_short_lines_with_one_word_changed(spark):
     assert len(near) > 150 and got <= set(near) and len(got) >= 0.98 * len(near)
 
 
+def test_lines_without_blanks(spark):
+    """Near copies in scripts that set no blanks: a character put in front, one changed in the middle."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        line = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120))
+        rows += [(3 * i, line, "zh", "s"), (3 * i + 1, "x" + line, "zh", "s"), (3 * i + 2, line[:60] + "y" + line[61:], "zh", "s")]
+    got = {r.doc_id for r in linededup.dropped_lines(table(spark, rows)).collect()}
+    assert got <= {i for i, *_ in rows if i % 3} and len(got) >= 118
+
+
+def test_bucket_size_does_not_matter(spark):
+    """Families of lines that share most of their text: written-out pairs and the prefix filter link the same lines."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for i in range(12):
+        base = [rng.choice(words) for _ in range(40)]
+        for j in range(25):
+            line = list(base)
+            for _ in range(rng.choice([1, 2, 6, 9])):
+                line[rng.randrange(40)] = rng.choice(words)
+            rows.append((100 * i + j, " ".join(line), "en", "s"))
+    df = table(spark, rows)
+    one, two = (sorted((r.doc_id, r.line_no, r.kept.doc_id) for r in linededup.dropped_lines(df, small=n).collect()) for n in (0, 1000))
+    assert one == two and 100 < len(one) < 300
+
+
+def test_lines_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a line of words\nand more", 7, "i", "k"), (2, "a line of words", 8, "j", "l"), (2, "a line of words", 8, "j", "l"), (None, None, 9, None, None)], "doc_id long, text string, _id int, drop string, `row` string")
+    got = sorted(map(tuple, linededup.apply(df).collect()), key=str)
+    assert got == [(1, "a line of words\nand more", 7, "i", "k"), (None, None, 9, None, None)]
+
+
 # 4 neighbours
 
 
