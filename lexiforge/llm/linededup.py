@@ -122,8 +122,9 @@ def _one(signed: DataFrame, name: str) -> DataFrame:
     return signed.select(F.col("line_id").alias(name), "kind", "alone", F.col("s0").alias("a0"), F.col("s1").alias("a1"))
 
 
-#: The signature of `_one` as that of the other line.
-_OTHER = [F.col(a).alias(b) for a, b in (("kind", "kind_b"), ("alone", "alone_b"), ("a0", "b0"), ("a1", "b1"))]
+def _other() -> list[Column]:
+    """The signature of `_one` as that of the other line."""
+    return [F.col(a).alias(b) for a, b in (("kind", "kind_b"), ("alone", "alone_b"), ("a0", "b0"), ("a1", "b1"))]
 
 
 def signatures(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -141,7 +142,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree."""
-    two = _one(signed, "b").select("b", *_OTHER)
+    two = _one(signed, "b").select("b", *_other())
     return pairs.join(_one(signed, "a"), "a").join(two, "b").where(_agree()).select("a", "b").distinct()
 
 
@@ -186,7 +187,7 @@ def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, signed: D
     prefix = prefix.where("t.any_open").select("line_id", "label", "open", "size", "most", F.col("t.h").alias("h"))
     # Unlike lines share short shingles: only those of one bucket meet.
     prefix = prefix.join(_one(signed, "line_id"), "line_id").join(large, "line_id")
-    other = prefix.select("key", "h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), *_OTHER)
+    other = prefix.select("key", "h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), *_other())
     met = prefix.where("open").join(other, ["key", "h"]).where(_agree())
     # Two open lines meet once.
     met = met.where(F.col("label") != F.col("other_label")).where((F.col("line_id") < F.col("other")) | ~F.col("other_open"))
@@ -229,7 +230,7 @@ def line_roots(lines: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     roots = scratch.save(components(scratch.save(stars.union(helped), "helped"), scratch, "nearer"), "roots2")
     split = scratch.save(_split(led, roots), "split2")
     few = split.where(F.col("n") <= small).join(_one(signed, "line_id"), "line_id").select("key", F.col("line_id").alias("a"), F.col("label").alias("la"), "kind", "alone", "a0", "a1")
-    other = few.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), *_OTHER)
+    other = few.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), *_other())
     few = few.join(other, "key").where("a < b and la <> lb").where(_agree()).select("a", "b").distinct()
     # Those still outside meet all others of their buckets through rare shingles.
     large = split.where(F.col("n") > small)
