@@ -1,14 +1,16 @@
 """Operator 6: language identification by multinomial naive Bayes over hashed character n-grams.
 
-N-grams of one to four UTF-8 bytes of the lower-cased text are hashed into 2**16
-columns. The model holds a log probability for each column and language. Training
-reads at most `per_language` labelled documents of a language, those of least
-hash of doc_id and text; the bound keeps the driver's and workers' part the same at
-every size: languages x 2**16 floats. Prediction reads whole texts.
+N-grams of one to four characters (code points) of the lower-cased text are hashed into
+2**16 columns. The model holds a log probability for each column and language. Training
+reads at most `per_language` labelled texts of a language, equal texts counting once, those of
+least hash; the bound keeps the driver's and workers' part the same at every size:
+languages x 2**16 floats. Prediction reads whole texts: those of a batch become one
+sparse matrix of column counts, whose product with the log probabilities has their sums.
 
 Defined cases: text that is null or has no letter is 'und' with score 0; rows without
 lang don't train; without a labelled row every text is 'und'; ties go to the first
-language by code point; repeated rows repeat; other columns are kept by `predict`.
+language by code point; repeated rows repeat, and train as one; other columns are kept by
+`predict`, which replaces columns named lang_pred and score.
 """
 
 from __future__ import annotations
@@ -25,44 +27,80 @@ ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 1500
 #: The evidence of a text counts as that of so many n-grams at most, so that scores spread.
 TEMPER = 40.0
-CHUNK = 1 << 20
+#: Added to every count, so that no n-gram is impossible; small, so that a language learnt from little text isn't drowned.
+ALPHA = 0.02
+#: Characters of texts that are scored together; longer texts are counted part by part.
+CHUNK = 1 << 18
 UNDETERMINED = "und"
 
 
-def gram_columns(text: str) -> Iterator[np.ndarray]:
-    """Hash columns of the n-grams of a text, chunk by chunk."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    longest = max(ORDERS)
-    for at in range(0, max(len(data), 1), CHUNK):
-        part = data[at : at + CHUNK + longest - 1]
-        last = at + CHUNK >= len(data)
-        grams = np.zeros(len(part), np.uint32)
-        out = []
-        for n in range(1, longest + 1):
-            grams = (grams << np.uint32(8))[: len(part) - n + 1] | part[n - 1 :] if len(part) >= n else grams[:0]
-            if n in ORDERS:
-                mine = grams if last else grams[:CHUNK]
-                out.append((mine * np.uint32(2654435761) + np.uint32(n * 40503)) * np.uint32(2246822519) >> np.uint32(16))
-        yield np.concatenate(out)
+def gram_columns(points: np.ndarray) -> list[np.ndarray]:
+    """Hash columns of the n-grams that start at each code point, an array for each order; the last ones of an order lack."""
+    grams, out = np.zeros(len(points), np.uint32), []
+    for n in range(1, max(ORDERS) + 1):
+        m = max(len(points) - n + 1, 0)
+        grams = (grams[:m] * np.uint32(0x01000193)) ^ (points[n - 1 : n - 1 + m] + np.uint32(0x9E3779B9))
+        if n in ORDERS:
+            mixed = (grams ^ (grams >> np.uint32(15)) ^ np.uint32(n << 28)) * np.uint32(2246822519)
+            mixed ^= mixed >> np.uint32(13)
+            mixed *= np.uint32(3266489917)
+            out.append(mixed >> np.uint32(16))
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_rows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, column) of all n-grams of the texts, text numbers rising within each part, of about CHUNK characters; no n-gram goes over the end of a text."""
+    longest, held, size = max(ORDERS), [], 0
+
+    def rows(parts: list[tuple[int, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        points = np.concatenate([p for _, p, _ in parts])
+        sizes = np.array([len(p) for _, p, _ in parts])
+        owner, ends = np.repeat([i for i, _, _ in parts], sizes), np.cumsum(sizes)
+        for n, found in zip(ORDERS, gram_columns(points)):
+            fit = np.ones(len(points), bool)
+            for (_, p, starting), end in zip(parts, ends.tolist()):
+                # Starts in the part that the next one repeats, or too near its end.
+                fit[end - len(p) + min(starting, max(len(p) - n + 1, 0)) : end] = False
+            fit = fit[: len(found)]
+            yield owner[: len(found)][fit], found[fit]
+
+    for i, text in enumerate(texts):
+        points = _points(text)
+        for at in range(0, len(points), CHUNK):
+            part = points[at : at + CHUNK + longest - 1]
+            held.append((i, part, min(CHUNK, len(points) - at)))
+            size += len(part)
+            if size >= CHUNK:
+                yield from rows(held)
+                held, size = [], 0
+    if held:
+        yield from rows(held)
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities of shape (COLUMNS, languages)) from text and lang."""
-    usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    # A share of each language that holds more than enough rows, so that the order below sorts few at any size.
+    usable = labelled.where("text is not null and lang is not null").select("text", "lang")
+    keyed = usable.select("lang", "text", F.xxhash64("text").alias("key"))
+    # Equal texts share a draw; so that they can't fill a language's share, keys are counted once.
+    draw = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 40))
+    # A share of each language that holds more than enough texts, so that the order below sorts few at any size.
     # Broadcast: one row for each language, of which the model holds COLUMNS numbers anyway.
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("_lang"), (F.lit(float(1 << 40)) * (1.25 * per_language + 100) / F.col("rows")).alias("below"))
-    drawn = usable.withColumn("draw", draw).join(F.broadcast(sizes), (F.col("lang") == F.col("_lang")) & (F.col("draw") <= F.col("below"))).select("lang", "text", "draw", "doc_id")
-    spread = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    some = drawn.withColumn("nth", F.row_number().over(spread)).where(F.col("nth") <= per_language).select("lang", "text")
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("texts")).select(F.col("lang").alias("lang_of"), (F.lit(float(1 << 40)) * (1.4 * per_language + 200) / F.col("texts")).alias("below"))
+    drawn = keyed.withColumn("draw", draw).join(F.broadcast(sizes), (F.col("lang") == F.col("lang_of")) & (F.col("draw") <= F.col("below")))
+    once = drawn.groupBy("lang", "key", "draw").agg(F.first("text").alias("text"))
+    spread = Window.partitionBy("lang").orderBy("draw", "key")
+    some = once.withColumn("nth", F.row_number().over(spread)).where(F.col("nth") <= per_language).select("lang", "text")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in it:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = totals.setdefault(lang, np.zeros(COLUMNS, np.int64))
-                for columns in gram_columns(text):
+                for _, columns in gram_rows([text]):
                     mine += np.bincount(columns, minlength=COLUMNS)
         for lang, mine in totals.items():
             at = np.flatnonzero(mine)
@@ -73,42 +111,51 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
     langs = sorted(table["lang"].unique())
     logs = np.zeros((COLUMNS, len(langs)), np.float32)
     for i, lang in enumerate(langs):
-        mine = np.ones(COLUMNS)
+        mine = np.full(COLUMNS, ALPHA)
         part = table[table["lang"] == lang]
         mine[part["at"].to_numpy()] += part["n"].to_numpy()
         logs[:, i] = np.log(mine / mine.sum())
     return langs, logs
 
 
+def scores(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log probabilities, of shape (texts, languages), and n-grams of each text."""
+    sums, grams = np.zeros((len(texts), logs.shape[1])), np.zeros(len(texts), np.int64)
+    for owner, column in gram_rows(texts):
+        # Compressed sparse rows: the columns of each row in turn, and where each row begins; a column that repeats counts again.
+        row, first = np.unique(owner, return_index=True)
+        if len(row):
+            sums[row] += np.add.reduceat(logs.take(column, axis=0), first, axis=0, dtype=np.float64)
+            grams += np.bincount(owner, minlength=len(texts))
+    return sums, grams
+
+
+def classify(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float]]:
+    found, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    usable = [i for i, t in enumerate(texts) if langs and t is not None and any(map(str.isalpha, t))]
+    if usable:
+        sums, grams = scores([texts[i] for i in usable], logs)
+        z = (sums - sums.max(axis=1, keepdims=True)) * np.minimum(1.0, TEMPER / grams)[:, None]
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        for i, best, row in zip(usable, p.argmax(axis=1).tolist(), p):
+            found[i], sure[i] = langs[best], float(row[best])
+    return found, sure
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all if None), lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text"))
-
-    def score(text: str | None, langs: list[str], logs: np.ndarray) -> tuple[str, float]:
-        if text is None or not langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total, n = np.zeros(len(langs)), 0
-        for columns in gram_columns(text):
-            hit = np.bincount(columns, minlength=COLUMNS).astype(np.float32) if len(columns) > 4 * COLUMNS else None
-            total += hit @ logs if hit is not None else logs.take(columns, axis=0).sum(axis=0, dtype=np.float64)
-            n += len(columns)
-        z = (total - total.max()) * min(1.0, TEMPER / n)
-        p = np.exp(z) / np.exp(z).sum()
-        best = int(p.argmax())
-        return langs[best], float(p[best])
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("t"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = shared.value
         for batch in it:
-            found = [score(t, langs, logs) for t in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            found, sure = classify(batch.column(len(names)).to_pylist(), langs, logs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double")):
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(batches, schema)
+    return rows.mapInArrow(batches, kept.schema.add("lang_pred", "string").add("score", "double"))
 
 
 def held_out() -> Column:

@@ -359,6 +359,43 @@ def test_langid(spark, docs, hard):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.h for r in docs.select("doc_id", langid.held_out().alias("h")).collect())
 
 
+def plain_grams(text):
+    """Counts of hash columns of every n-gram of characters, one by one."""
+    counts = {}
+    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    for n in langid.ORDERS:
+        for i in range(len(points) - n + 1):
+            column = int(langid.gram_columns(points[i : i + n])[n - 1][0])
+            counts[column] = counts.get(column, 0) + 1
+    return counts
+
+
+def test_langid_against_plain(monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    texts = ["Ab été 汉字很多", "a", "xyz " * 40, "ñ"]
+    rng = np.random.default_rng(1)
+    logs = np.log(rng.random((langid.COLUMNS, 3))).astype(np.float32)
+    sums, grams = langid.scores(texts, logs)
+    for text, got, n in zip(texts, sums, grams):
+        want = plain_grams(text)
+        assert n == sum(want.values())
+        assert np.allclose(got, sum(k * logs[c].astype(float) for c, k in want.items()), rtol=1e-5)
+    assert langid.gram_columns(np.array([ord("汉")], np.uint32))[0].shape == (1,)
+
+
+def test_langid_repeated_rows(spark):
+    """A language made of one text a great many times is learnt, and so is a rare one beside it."""
+    german = spark.range(60000).select(F.col("id").alias("doc_id"), F.lit("der Hund und die Katze sind auf dem Haus").alias("text"), F.lit("de").alias("lang"))
+    english = spark.createDataFrame([(i, f"the dog and the cat number {i} are on the house", "en") for i in range(50)], "doc_id long, text string, lang string")
+    same = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("le chien et le chat sont sur la maison").alias("text"), F.lit("fr").alias("lang"))
+    langs, logs = langid.train(german.union(english).union(same))
+    assert langs == ["de", "en", "fr"]
+    texts = ["und die Katze auf dem Haus", "the cat and the house", "et le chat sur la maison", None, "12"]
+    assert langid.classify(texts, langs, logs)[0] == ["de", "en", "fr", "und", "und"]
+    clash = spark.createDataFrame([(texts[0], "x", 1.0, 2)], "text string, lang_pred string, score double, t int")
+    assert [tuple(r)[:3] for r in langid.predict(clash, (langs, logs)).collect()] == [(texts[0], 2, "de")]
+
+
 # 7 pages
 
 
