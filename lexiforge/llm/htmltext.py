@@ -1,16 +1,23 @@
 """Operator 7: main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass calls a block good, bad
-or open by link density, stop-word density, length and the element it stands in;
-an open block is short or unclear. In the second pass open blocks take the label of
-the nearest decided blocks: good if both agree on it, bad if both agree on that, and
-else good if the block lies in the article or holds words like running text. An article
-counts as good ground at both ends for what stands in it.
+or open by link density, stop-word density, length and the element it stands in: a block
+of links is bad, a long one that holds stop words as running text does is good, a short
+or unclear one is open. In the second pass open blocks take the label of the nearest
+decided blocks before and after, of the same article if they stand in one, whose ends
+count as good; where the two differ, a block is good if it lies in the article or is long
+enough, or a heading.
+
+Attributes are read as browsers do: a quote counts only behind an equals sign. Every
+character is read a bounded number of times. An element that is left out with all it holds
+(a form, a menu, ...) ends at its own end tag; if an element around it ends first, it was
+never closed and its text is judged like any other.
 
 Defined cases: null or empty html has empty text; a page cut off in the middle counts as
 closed at its end; unknown elements are transparent; comments, scripts, styles,
-forms and the like are skipped with all they hold; repeated rows repeat; other columns are
-kept by `extract`.
+forms and the like are skipped with all they hold; a script or style without an end hides
+the rest; repeated rows repeat; an empty table gives an empty result; other columns are
+kept by `extract`, but for those named text and n_chars, which it replaces.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ STOP_WORDS = frozenset(
     sin sobre su sus también tiene todo un una y ya yo""".split()
 )
 #: Elements whose whole content is left out.
-SKIPPED = frozenset("script style noscript template svg math iframe object embed applet form select textarea button input option datalist head canvas audio video map dialog menu title".split())
+SKIPPED = frozenset("script style noscript template svg iframe object embed applet form select textarea button input option datalist head canvas audio video map dialog menu".split())
 RAW = frozenset("script style textarea title iframe noscript template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text unless an article encloses them as its own header.
@@ -56,160 +63,233 @@ ASIDE_NAMES = re.compile(
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|text)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-_TAG = re.compile(r"""<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""")
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?(?=$|[\s/"'])""", re.I)
+#: Attributes up to the end of a tag; quoted values only follow an equals sign.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_ATTR = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++)))?+""")
+_TOLD = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
+    """A run of text; `inside` is the number of the article it stands in, 0 for none."""
+
     __slots__ = ("text", "linked", "inside", "frame", "heading", "label")
 
-    def __init__(self, text: str, linked: int, inside: bool, frame: bool, heading: bool):
+    def __init__(self, text: str, linked: int, inside: int, frame: bool, heading: bool):
         self.text, self.linked, self.inside, self.frame, self.heading, self.label = text, linked, inside, frame, heading, ""
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of text of a page in order, without what is skipped."""
-    found: list[Block] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, main, frame, link, heading
-    main = frame = link = heading = False
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
+class _Open:
+    """An open element: what held outside it, and if it is left out, the blocks, parts and linked characters before it."""
+
+    __slots__ = ("name", "main", "frame", "link", "heading", "before")
+
+    def __init__(self, name: str, main: int, frame: bool, link: bool, heading: bool, before: tuple[int, int, int] | None):
+        self.name, self.main, self.frame, self.link, self.heading, self.before = name, main, frame, link, heading, before
+
+
+class Reader:
+    """Cuts one page into blocks."""
+
+    def __init__(self, page: str):
+        self.page, self.found, self.parts, self.linked = page, [], [], 0
+        self.stack: list[_Open] = []
+        self.count: dict[str, int] = {}
+        self.main, self.frame, self.link, self.heading, self.articles = 0, False, False, False, 0
+        self.plain = False  # a quote is never closed: tags end at the next bracket
+        self.endless: set[str] = set()  # raw elements of which no end tag follows
+
+    def flush(self) -> None:
+        if self.parts:
+            text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                found.append(Block(text, min(linked, len(text)), main, frame, heading))
-            parts.clear()
-        linked = 0
+                self.found.append(Block(text, min(self.linked, len(text)), self.main, self.frame, self.heading))
+            self.parts.clear()
+        self.linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
+    def add(self, raw: str) -> None:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if link:
-                linked += len(text.strip())
-
-    def skip(name: str, start: int) -> int:
-        """The place behind the element of this name whose start tag ends at `start`."""
-        depth = 1
-        pattern = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*+>", re.I)
-        for m in pattern.finditer(page, start):
-            depth += -1 if m[1] else (0 if name in RAW else 1)
-            if not depth:
-                return m.end()
-        return len(page)
-
-    at, end = 0, len(page)
-    while at < end:
-        lt = page.find("<", at)
-        if lt < 0:
-            add(page[at:])
-            break
-        m = _TAG.match(page, lt)
-        if not m:
-            add(page[at : lt + 1])
-            at = lt + 1
-            continue
-        add(page[at:lt])
-        if m["comment"]:
-            close = page.find("-->", lt + 4)
-            at = end if close < 0 else close + 3
-            continue
-        if m["other"]:
-            close = page.find(">", lt)
-            at = end if close < 0 else close + 1
-            continue
-        name, at = m["name"].lower(), m.end()
-        if m["end"]:
-            if name in BLOCKS:
-                flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    _, main, frame, link, heading = stack[depth]
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in ("td", "th", "table", "article", "main", "body") and name not in BLOCKS:
-                    break
-            continue
+            self.parts.append(text)
+            if self.link:
+                self.linked += len(text.strip())
+
+    def tag_end(self, at: int) -> tuple[str, int] | None:
+        """(attributes, place behind the tag) of the tag whose name ends at `at`."""
+        if not self.plain:
+            m = _REST.match(self.page, at)
+            if m:
+                return m[1], m.end()
+            self.plain = True
+        close = self.page.find(">", at)
+        return None if close < 0 else (self.page[at:close], close + 1)
+
+    def close(self, depth: int, own: bool) -> None:
+        """Ends the elements from `depth` on, the first of them by its own tag or not."""
+        for element in self.stack[depth:]:
+            self.count[element.name] -= 1
+        first = self.stack[depth]
+        if own and first.before is not None:
+            blocks, parts, linked = first.before
+            if len(self.found) == blocks:  # an element within a block
+                del self.parts[parts:]
+                self.linked = linked
+            else:
+                self.parts.clear()
+                self.linked = 0
+            del self.found[blocks:]
+        self.main, self.frame, self.link, self.heading = first.main, first.frame, first.link, first.heading
+        del self.stack[depth:]
+
+    def end_tag(self, name: str) -> None:
+        if name in BLOCKS or name in SKIPPED:
+            self.flush()
+        if not self.count.get(name):
+            return
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth].name == name:
+                self.close(depth, True)
+                return
+            if name not in BLOCKS and name not in SKIPPED and self.stack[depth].name in BLOCKS:
+                # An inline element that ends in another block than it began in ends with its block.
+                return
+
+    def start_tag(self, name: str, told: str, at: int) -> int:
         if name in ("br", "wbr"):
-            parts.append("\n" if name == "br" else "")
-            continue
-        if name in BLOCKS:
-            flush()
-        attrs = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in _ATTR.finditer(m["attrs"])} if m["attrs"] else {}
-        if name in VOID and name not in SKIPPED:
-            continue
-        away = name in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", ""))
-        if away:
-            if name not in VOID and not m["attrs"].endswith("/"):
-                at = skip(name, at)
-            continue
-        if name == "p":  # a paragraph ends where the next begins
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    _, main, frame, link, heading = stack[depth]
-                    del stack[depth:]
+            self.parts.append("\n" if name == "br" else "")
+            return at
+        if name in BLOCKS or name in SKIPPED:
+            self.flush()
+        attrs: dict[str, str] = {}
+        for m in _ATTR.finditer(told):
+            key = m[1].lower()
+            if key in _TOLD and key not in attrs:
+                attrs[key] = m[2] or m[3] or m[4] or ""
+        if name in VOID:
+            return at
+        own_end = told.endswith("/")
+        if name in RAW and not (name == "title" and any(self.count.get(n) for n in ("body", "article", "main"))):
+            return self.skip_raw(name, at)
+        away = name in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+        if own_end and (away or name not in BLOCKS):
+            return at
+        if name == "p" and self.count.get("p"):  # a paragraph ends where the next begins
+            for depth in range(len(self.stack) - 1, -1, -1):
+                if self.stack[depth].name == "p":
+                    self.close(depth, True)
                     break
-                if stack[depth][0] in BLOCKS:
+                if self.stack[depth].name in BLOCKS:
                     break
-        if m["attrs"].endswith("/") and name not in BLOCKS:
-            continue
-        stack.append((name, main, frame, link, heading))
+        self.stack.append(_Open(name, self.main, self.frame, self.link, self.heading, (len(self.found), len(self.parts), self.linked) if away else None))
+        self.count[name] = self.count.get(name, 0) + 1
         names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
+        begins = name in ("article", "main") and not self.frame
         if name not in ("html", "body") and names.strip():
             if ASIDE_NAMES.search(names) and name not in ("article", "main", "p", "h1"):
-                frame = True
-            elif MAIN_NAMES.search(names) and name in BLOCKS and not frame:
-                main = True
-        if name in FRAMES and not (name == "header" and main):
-            frame = True
-        if name in ("article", "main") and not frame:
-            main = True
-        link = link or name == "a"
-        heading = heading or (len(name) == 2 and name[0] == "h" and name[1] in "123456")
-    flush()
-    return found
+                self.frame = True
+            elif MAIN_NAMES.search(names) and name in BLOCKS and not self.frame:
+                begins = True
+        if name in FRAMES and not (name == "header" and self.main):
+            self.frame = True
+        if begins and not self.main:
+            self.articles += 1
+            self.main = self.articles
+        self.link = self.link or name == "a"
+        self.heading = self.heading or (len(name) == 2 and name[0] == "h" and name[1] in "123456")
+        return at
+
+    def skip_raw(self, name: str, at: int) -> int:
+        if name not in self.endless:
+            m = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(self.page, at)
+            if m:
+                return m.end()
+            self.endless.add(name)
+        return len(self.page) if name in ("script", "style") else at
+
+    def blocks(self) -> list[Block]:
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            lt = page.find("<", at)
+            if lt < 0:
+                self.add(page[at:])
+                break
+            self.add(page[at:lt])
+            if page.startswith("<!--", lt):
+                close = page.find("-->", lt + 4)
+                at = end if close < 0 else close + 3
+                continue
+            if page.startswith(("<!", "<?"), lt):
+                close = page.find(">", lt)
+                at = end if close < 0 else close + 1
+                continue
+            m = _NAME.match(page, lt + 1)
+            if not m:
+                self.parts.append("<")
+                at = lt + 1
+                continue
+            told = self.tag_end(m.end())
+            if told is None:  # no tag ends any more: what follows is a tag that was cut off
+                break
+            name, at = m[2].lower(), told[1]
+            if m[1]:
+                self.end_tag(name)
+            else:
+                at = self.start_tag(name, told[0], at)
+        self.flush()
+        for element in self.stack:  # what is left out and still open at the end of the page
+            if element.before is not None:
+                del self.found[element.before[0] :]
+                break
+        return self.found
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of text of a page in order, without what is skipped."""
+    return Reader(page).blocks()
+
+
+def first_label(block: Block, framed: bool) -> str:
+    """good, bad or open, by the block alone; `framed`: the page has an article."""
+    n, inside = len(block.text), block.inside > 0
+    links = block.linked / n
+    if block.frame or (links > LINKS_BAD and not (inside and block.heading)):
+        return "bad"
+    words = _WORD.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if inside:
+        return "good" if n >= SHORT and stops >= STOP_LOW and links <= LINKS_SOME else "open"
+    if framed:
+        return "bad" if n < LONG or links > LINKS_SOME or stops < STOP_LOW else "open"
+    if n < SHORT:
+        return "bad" if links > LINKS_SOME else "open"
+    if stops >= STOP_HIGH and n > LONG:
+        return "good"
+    return "open" if stops >= STOP_LOW else "bad"
 
 
 def classify(blocks: list[Block]) -> None:
     """Sets label to good or bad."""
     framed = any(b.inside and not b.frame for b in blocks)
     for b in blocks:
-        n = len(b.text)
-        links = b.linked / n
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.frame or (links > LINKS_BAD and not (b.inside and b.heading)):
-            b.label = "bad"
-        elif b.inside:
-            b.label = "good" if n >= SHORT and links <= LINKS_SOME else "open"
-        elif framed:
-            b.label = "bad" if n < LONG or links > LINKS_SOME or stops < STOP_LOW else "open"
-        elif n < SHORT:
-            b.label = "bad" if links > LINKS_SOME else "open"
-        elif stops >= STOP_HIGH:
-            b.label = "good" if n > LONG else "open"
-        elif stops >= STOP_LOW:
-            b.label = "open"
-        else:
-            b.label = "bad"
-    before, ahead = [], []
-    last = "bad"
-    for b in blocks:
-        before.append("good" if b.inside and last == "bad" else last)
-        last = b.label if b.label != "open" else last
-    last = "bad"
-    for b in reversed(blocks):
-        ahead.append("good" if b.inside and last == "bad" else last)
-        last = b.label if b.label != "open" else last
-    for b, one, two in zip(blocks, before, reversed(ahead)):
+        b.label = first_label(b, framed)
+
+    def decided(order: list[Block]) -> list[str]:
+        """The label of the nearest decided block before each in this order."""
+        out, last, place = [], "bad", 0
+        for b in order:
+            if b.inside != place:
+                last, place = "good" if b.inside else "bad", b.inside
+            out.append(last)
+            if b.label != "open" and not b.frame:
+                last = b.label
+        return out
+
+    before, after = decided(blocks), decided(blocks[::-1])[::-1]
+    for b, one, two in zip(blocks, before, after):
         if b.label == "open":
-            b.label = one if one == two else "good" if len(b.text) >= SHORT or b.heading else "bad"
+            b.label = one if one == two else "good" if b.inside or len(b.text) >= SHORT or b.heading else "bad"
 
 
 def main_text(page: str | None) -> str:
@@ -222,7 +302,7 @@ def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of pages (all if None), text and n_chars."""
     names = pages.columns if keep is None else keep
     names = [c for c in names if c not in ("text", "n_chars")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in names], F.col("html").alias("_html"))
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("html").alias("h"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -421,6 +421,83 @@ def test_main_text(spark):
     assert len(htmltext.main_text("<article>" + "<p>word and more of it</p>" * 20000)) > 300000
 
 
+def test_main_text_of_odd_markup():
+    text = htmltext.main_text
+    long = "This is the text of the page and it has all the words that we need in it for sure, as it goes on."
+    assert text(f"<article><p title=it's>{long}</p><p>Don't go.</p></article>") == f"{long}\nDon't go."
+    assert text(f'<article><p title="a > b" data-x=\'<p>\'>{long}</p></article>') == long
+    for name in ("form", "select", "button", "map", "dialog"):
+        assert text(f"<body><article><p>{long}</p><{name}><p>{long}</p><p>End.</p></article><footer>foot</footer></body>") == f"{long}\n{long}\nEnd."
+        assert text(f"<body><article><p>{long}</p><{name}><p>{long}</p></{name}><p>End.</p></article></body>") == f"{long}\nEnd."
+    assert text(f"<article><p>{long} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><title>no</title></svg></p></article>") == f"{long} x=2 and"
+    assert text(f"<article><p>{long} <span hidden>not <b>this</b></span>but this</p></article>") == f"{long} but this"
+    assert text(f"<head><title>no</title></head><body><article><p>{long}</p><title>Named</title></article>") == f"{long}\nNamed"
+    links = "<li><a href=x>Read more of what we have to say about the world</a></li>"
+    # Within an article too, what lies between blocks of links goes with them.
+    assert text(f"<article><p>{long}</p><ul>{links}<li>See also</li>{links}</ul><p>{long}</p></article>") == f"{long}\n{long}"
+    assert text(f"<article><h1>Title</h1><p>{long}</p><p>One.</p></article>") == f"Title\n{long}\nOne."
+    assert text(f"<title>a<article><p>{long}</p></article>") in (long, f"a\n{long}")
+
+
+@pytest.mark.parametrize("page", ["<a " * 350000, "<a b=\"" * 200000, "<a b='>" * 150000, "<form>" * 150000 + "x", "<title>" * 150000, "</p>" * 250000, "<p>" * 300000, "<b>" * 200000 + "</i>" * 100000, "<" * 1000000, "<!--" * 250000, "<a =\"x\" " * 100000 + "=\">\"", "<div><p>" * 100000 + "</b>" * 50000])
+def test_main_text_is_linear(page):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 6
+
+
+def plain_labels(blocks):
+    """Both passes once more, each block on its own."""
+    framed = any(b.inside and not b.frame for b in blocks)
+    first = []
+    for b in blocks:
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        stops = sum(w in htmltext.STOP_WORDS for w in words) / max(1, len(words))
+        links, n = b.linked / len(b.text), len(b.text)
+        if b.frame or links > 0.5 and not (b.inside and b.heading):
+            first.append("bad")
+        elif b.inside:
+            first.append("good" if n >= 70 and stops >= 0.12 and links <= 0.2 else "open")
+        elif framed:
+            first.append("bad" if n < 200 or links > 0.2 or stops < 0.12 else "open")
+        elif n < 70:
+            first.append("bad" if links > 0.2 else "open")
+        else:
+            first.append("good" if stops >= 0.3 and n > 200 else "open" if stops >= 0.12 else "bad")
+    out = []
+    for i, b in enumerate(blocks):
+        near = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(blocks) and blocks[j].inside == b.inside and (first[j] == "open" or blocks[j].frame):
+                j += step
+            beyond = not (0 <= j < len(blocks)) or blocks[j].inside != b.inside
+            near.append(("good" if b.inside else "bad") if beyond else first[j])
+        split = "good" if b.inside or len(b.text) >= 70 or b.heading else "bad"
+        out.append(first[i] if first[i] != "open" else near[0] if near[0] == near[1] else split)
+    return out
+
+
+def test_both_passes_against_plain(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rng = random.Random(2)
+    stop, rare = sorted(htmltext.STOP_WORDS), [f"zx{i}" for i in range(50)]
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randrange(2, 14)):
+            words = " ".join(rng.choice(stop if rng.random() < rng.choice([0, 0.2, 0.5]) else rare) for _ in range(rng.choice([2, 8, 30, 80])))
+            parts.append(rng.choice(["<p>{}</p>", "<p><a>{}</a></p>", "<h2>{}</h2>", "<nav>{}</nav>", "<p>{} <a>zx zx</a></p>"]).format(words))
+        cut = rng.randrange(len(parts))
+        parts[cut:cut] = rng.choice([[], ["<article>"], ["<div class=post>", "</div><main>"]])
+        pages.append("".join(parts))
+    for page in pages:
+        blocks = htmltext.blocks_of(page)
+        htmltext.classify(blocks)
+        assert [b.label for b in blocks] == plain_labels(blocks)
+
+
 def test_pages_keep_articles(spark, sf):
     import html as entities
 
