@@ -17,8 +17,10 @@ equals; it is a unit 'lines', numbered by its first line, unless it is a line,
 paragraph or text, which are units of their own.
 
 Defined cases: null or empty text has no unit and no match; one-word units have
-no bigram; repeated bigrams count once; ties between templates go to the first
-name; repeated rows repeat their matches; other columns are not read.
+no bigram; repeated bigrams count once; a unit that matches several licences has a row for
+each, with its best template's score; every row of the input has its own matches, so repeated
+rows, rows that share a doc_id and rows without one repeat theirs; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -60,6 +66,8 @@ TEMPLATES = {
 }
 
 _BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT_DISCLAIMER = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+TEMPLATES["MIT"].append(f"{TEMPLATES['MIT'][-1]} {_MIT_DISCLAIMER}")
 for _name in ("BSD-2-Clause", "BSD-3-Clause"):
     TEMPLATES[_name].append(f"{TEMPLATES[_name][-1]} {_BSD_DISCLAIMER}")
 
@@ -171,7 +179,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     some = some.where(F.size("words") > 1).withColumn("grams", pairs).withColumn("n", F.size("grams"))
     near = F.filter(table, lambda t: (t["n"] >= F.col("n") * low - 1e-9) & (t["n"] <= F.col("n") * high + 1e-9))
     scored = F.transform(near, lambda t: F.struct(t["license"].alias("license"), (F.size(F.array_intersect(F.col("grams"), t["grams"])) * 2.0 / (F.col("n") + t["n"])).alias("score")))
-    matched = some.select("doc_id", "unit", "unit_no", F.explode(scored).alias("m")).where(F.col("m.score") >= threshold).groupBy("doc_id", "unit", "unit_no", "m.license").agg(F.max("m.score").alias("score"))
+    # The best template of each licence, unit by unit: rows that share a doc_id stay apart, and nothing is exchanged.
+    hits = some.select("doc_id", "unit", "unit_no", F.explode(F.array(F.filter(scored, lambda m: m["score"] >= threshold))).alias("hits")).where(F.size("hits") > 0)
+    best = F.transform(F.array_distinct(F.transform("hits", lambda m: m["license"])), lambda name: F.struct(name.alias("license"), F.array_max(F.transform(F.filter("hits", lambda m: m["license"] == name), lambda m: m["score"])).alias("score")))
+    matched = hits.select("doc_id", "unit", "unit_no", F.explode(best).alias("m")).select("doc_id", "unit", "unit_no", "m.license", "m.score")
     return matched.union(_windows(held.where(F.col(text).contains("\n")), table, pairs, threshold, text))
 
 
@@ -185,21 +196,23 @@ def _sql() -> str:
     return rf"""
 WITH t(license, gram, k) AS (VALUES {rows}),
 sizes AS (SELECT k, license, count(*) AS n FROM t GROUP BY k, license),
-lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-paras AS (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT r, doc_id, string_split(text, chr(10)) AS parts FROM docs),
+paras AS (SELECT r, doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts, len(string_split(text, chr(10))) AS n_lines FROM docs),
 units AS (
-  SELECT doc_id, 'line' AS unit, generate_subscripts(parts, 1) - 1 AS unit_no, unnest(parts) AS part FROM lines
-  UNION ALL SELECT doc_id, 'paragraph', generate_subscripts(parts, 1) - 1, unnest(parts) FROM paras WHERE len(parts) > 1 AND len(parts) < n_lines
-  UNION ALL SELECT doc_id, 'text', 0, text FROM documents WHERE text LIKE '%' || chr(10) || '%'),
-worded AS (SELECT doc_id, unit, unit_no, string_split(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
-numbered AS (SELECT doc_id, unit, unit_no, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM worded),
-grams AS (SELECT DISTINCT a.doc_id, a.unit, a.unit_no, a.word || ' ' || b.word AS gram FROM numbered a
-  JOIN numbered b ON a.doc_id = b.doc_id AND a.unit = b.unit AND a.unit_no = b.unit_no AND b.i = a.i + 1),
-held AS (SELECT g.doc_id, g.unit, g.unit_no, t.k, count(*) AS both_n FROM grams g JOIN t USING (gram) GROUP BY ALL),
-total AS (SELECT doc_id, unit, unit_no, count(*) AS n FROM grams GROUP BY ALL)
-SELECT h.doc_id, h.unit, h.unit_no::BIGINT AS unit_no, s.license, round(max(2.0::DOUBLE * both_n / (u.n + s.n)), 9) AS score
-FROM held h JOIN sizes s USING (k) JOIN total u ON u.doc_id = h.doc_id AND u.unit = h.unit AND u.unit_no = h.unit_no
-WHERE 2.0::DOUBLE * both_n / (u.n + s.n) >= {THRESHOLD}::DOUBLE GROUP BY ALL
+  SELECT r, doc_id, 'line' AS unit, generate_subscripts(parts, 1) - 1 AS unit_no, unnest(parts) AS part FROM lines
+  UNION ALL SELECT r, doc_id, 'paragraph', generate_subscripts(parts, 1) - 1, unnest(parts) FROM paras WHERE len(parts) > 1 AND len(parts) < n_lines
+  UNION ALL SELECT r, doc_id, 'text', 0, text FROM docs WHERE text LIKE '%' || chr(10) || '%'),
+worded AS (SELECT r, doc_id, unit, unit_no, string_split(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+numbered AS (SELECT r, doc_id, unit, unit_no, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM worded),
+grams AS (SELECT DISTINCT a.r, a.doc_id, a.unit, a.unit_no, a.word || ' ' || b.word AS gram FROM numbered a
+  JOIN numbered b ON a.r = b.r AND a.unit = b.unit AND a.unit_no = b.unit_no AND b.i = a.i + 1),
+held AS (SELECT g.r, g.doc_id, g.unit, g.unit_no, t.k, count(*) AS both_n FROM grams g JOIN t USING (gram) GROUP BY ALL),
+total AS (SELECT r, unit, unit_no, count(*) AS n FROM grams GROUP BY ALL),
+best AS (SELECT h.r, h.doc_id, h.unit, h.unit_no::BIGINT AS unit_no, s.license, round(max(2.0::DOUBLE * both_n / (u.n + s.n)), 9) AS score
+  FROM held h JOIN sizes s USING (k) JOIN total u ON u.r = h.r AND u.unit = h.unit AND u.unit_no = h.unit_no
+  WHERE 2.0::DOUBLE * both_n / (u.n + s.n) >= {THRESHOLD}::DOUBLE GROUP BY ALL)
+SELECT doc_id, unit, unit_no, license, score FROM best
 """
 
 
