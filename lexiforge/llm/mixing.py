@@ -4,20 +4,22 @@ Each source gets a share of the words to take by weight, at most `cap` times wha
 it has; the excess is dealt again by weight (water filling). Within a source every
 document expects target / source_size copies. The running sum of these, in the order
 of size, plus one random offset is cut at the integers: a document is taken once
-for every integer that its step crosses.
+for every integer that its step crosses, so a cap of 1.5 gives one or two copies.
 
 Defined cases: null text has size 0; null sources form one source, last in order;
 sources of size 0 get target 0 and nothing is taken from them; rows that agree in
 doc_id and text are interchangeable; an empty table gives an empty result; `mix`
-reads doc_id, text and source only, `repeat` keeps every column.
+reads doc_id, text and source only, `repeat` keeps every column, whatever its name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import WORD_PATTERN
+from lexiforge.llm.common import WORD_PATTERN, Scratch, packed, unpacked
 
 WEIGHTS = (3, 1, 2)
 SEED = 7
@@ -72,7 +74,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     bits = F.length(F.bin("size"))
     # The highest bit and the next three: sizes of one class lie within an eighth of each other.
     top = F.when(F.col("size") < 16, F.col("size")).otherwise(bits.cast("long") * 16 + F.expr("shiftright(size, length(bin(size)) - 4)"))
-    sized = sized.withColumn("bucket", top * SLICES + F.col("row_hash") % SLICES)
+    # Written once: counts, targets and ranks read it, and not the texts again.
+    sized = Scratch(docs.sparkSession, "mix").save(sized.withColumn("bucket", top * SLICES + F.col("row_hash") % SLICES), "sized")
     counts = sized.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = counts.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
@@ -85,19 +88,19 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     crossed = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     last = F.col("ahead") + F.col("rank")
-    copies = F.least(crossed(last) - crossed(last - 1), F.lit(int(cap)).cast("long"))
+    copies = F.least(crossed(last) - crossed(last - 1), F.lit(math.ceil(cap)).cast("long"))
     return joined.select("doc_id", "row_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves, with all columns of docs, each as many times as it is taken."""
     seed = options.get("seed", SEED)
-    same = Window.partitionBy("_id", "_hash").orderBy("copies")
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "copies").withColumn("_nth", F.row_number().over(same)).where("copies > 0")
-    again = Window.partitionBy("doc_id", "_row_hash").orderBy("doc_id")
-    rows = docs.withColumn("_row_hash", row_hash(seed)).withColumn("_row_nth", F.row_number().over(again))
-    kept = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")) & (F.col("_row_nth") == F.col("_nth")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = Window.partitionBy("id", "hash").orderBy("copies")
+    taken = mix(docs, **options).select(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash"), "copies").withColumn("nth", F.row_number().over(same)).where("copies > 0")
+    again = Window.partitionBy("doc_id", "row_hash").orderBy("doc_id")
+    rows = packed(docs, doc_id=F.col("doc_id"), row_hash=row_hash(seed)).withColumn("row_nth", F.row_number().over(again))
+    kept = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")) & (F.col("row_nth") == F.col("nth")))
+    return unpacked(kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
