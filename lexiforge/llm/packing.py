@@ -2,8 +2,9 @@
 
 A document becomes the ids of its text and an end id. Only a document longer than a
 sequence is cut: into full pieces, which fill sequences of their own, and the remainder in
-front as its first piece. Pieces are dealt to partitions by a hash and taken longest
-first; each goes to the open sequence with the least space that holds it. Open
+front as its first piece. Pieces are dealt by a hash to as many partitions as their number
+asks for and taken as they come, in the order of the hash; each goes to the open sequence
+with the least space that holds it. Open
 sequences are kept in stacks keyed by free space, the spaces in use in a bitset; when
 `OPEN` are open, the fullest closes.
 
@@ -20,6 +21,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,10 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import Scratch
+
 LENGTH = 1024
 END = 2
 OPEN = 512
 CACHED = 200_000
+#: Pieces of a partition: enough that the sequences left open at its end don't count.
+PIECES = 60_000
 _ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|[^\x21-\x7e¡-ɏͰ-ӿ‐-‧‰-⁞₠-₿一-鿌 \n]")
 
 
@@ -150,9 +156,12 @@ class Bins:
 
 def pack(pieces: DataFrame, length: int = LENGTH, most_open: int = OPEN, partitions: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset."""
-    spark = pieces.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    dealt = pieces.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    if partitions is None:
+        # Written once: counted here and packed below.
+        pieces = Scratch(pieces.sparkSession, "pack").save(pieces, "pieces")
+        partitions = max(1, math.ceil(pieces.count() / PIECES))
+    place = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(partitions, place).sortWithinPartitions(F.xxhash64(place, F.lit(1)), "doc_id", "piece", "ids_crc32", "length")
 
     def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = Bins(length, most_open)
