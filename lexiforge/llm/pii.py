@@ -13,7 +13,8 @@ listed ends where mod 97 holds, the longest first.
 Defined cases: null text is empty; every span counts, repeated values too; kinds may
 overlap; spans of one kind don't; places are code points, the end exclusive; repeated
 rows repeat; an empty table gives an empty result; `find` keeps the columns it is
-asked for.
+asked for, but for one named spans, which it replaces; `redact` keeps every column.
+Matches are numbered block by block, so that a text of many is not read over and over.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import packed, unpacked
+
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind -> (pattern, score of a confirmed span), in the order of the result.
 BASE = {
@@ -55,15 +58,23 @@ NEAR, CONTEXT_SCORE, THRESHOLD = 48, 0.35, 0.6
 _EMPTY = "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
 
 
+#: Matches of a block: lists grow by appending within one only.
+BLOCK = 128
+
+
 def matches(text: str, pattern: str) -> Column:
     """All matches in order, as structs (start, end, value): the lengths of what lies between and in them add up."""
     quoted = "r'" + pattern + "'"
-    return F.expr(f"""case when {text} rlike {quoted} then aggregate(
-        zip_with(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0), (gap, value) -> named_struct('gap', cast(length(gap) as bigint), 'value', value)),
-        named_struct('at', 0L, 'out', {_EMPTY}),
+    items = f"zip_with(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0), (gap, value) -> named_struct('gap', cast(length(gap) as bigint), 'value', value))"
+    # A lambda over a list of one names a value, so that it is worked out once.
+    blocks = f"transform(array({items}), items -> transform(sequence(0, (size(items) - 1) div {BLOCK}), b -> slice(items, cast(b as int) * {BLOCK} + 1, {BLOCK})))[0]"
+    offsets = """aggregate(blocks, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (acc, block) -> named_struct(
+        'at', acc.at + aggregate(block, 0L, (n, x) -> n + x.gap + coalesce(length(x.value), 0)), 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"""
+    within = f"""aggregate(block, named_struct('at', offset, 'out', {_EMPTY}),
         (acc, x) -> named_struct('at', acc.at + x.gap + coalesce(length(x.value), 0), 'out', if(x.value is null, acc.out,
             concat(acc.out, array(named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.value), 'value', x.value))))),
-        acc -> acc.out) else {_EMPTY} end""")
+        acc -> acc.out)"""
+    return F.expr(f"case when {text} rlike {quoted} then transform(array({blocks}), blocks -> flatten(zip_with(blocks, {offsets}, (block, offset) -> {within})))[0] else {_EMPTY} end")
 
 
 def _digits(value: Column) -> Column:
@@ -110,13 +121,22 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+#: Characters of a part of a text: a place in it is found by counting from the part's beginning.
+PART = 4096
+
+
+def _part(start: Column, n: Column) -> Column:
+    """Up to n <= NEAR characters of the text from a place on."""
+    return F.get(F.col("parts"), F.floor(start / PART).cast("int")).substr((start % PART + 1).cast("int"), n.cast("int"))
+
+
 def _span(kind: str, rank: int, score: float):
     """The span of a match; context words within NEAR characters raise its score."""
 
     def span(m: Column) -> Column:
         begin = F.greatest(m["start"] - NEAR, F.lit(0))
-        before = F.col("_t").substr((begin + 1).cast("int"), (m["start"] - begin).cast("int"))
-        after = F.col("_t").substr((m["end"] + 1).cast("int"), F.lit(NEAR))
+        before = _part(begin, m["start"] - begin)
+        after = _part(m["end"], F.lit(NEAR))
         near = F.concat(before, F.lit(" "), after)
         raised = F.when(near.rlike(rf"(?iu)(?<![\p{{L}}])(?:{CONTEXT[kind]})(?![\p{{L}}])"), CONTEXT_SCORE).otherwise(0.0)
         return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), F.least(F.lit(1.0), F.lit(score) + raised).alias("score"))
@@ -126,27 +146,34 @@ def _span(kind: str, rank: int, score: float):
 
 def find(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns `keep` of docs (all if None) and spans: structs (start, rank, kind, end, score) in order."""
-    kinds = BASE | ADDED
     names = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce("text", F.lit("")).alias("_t"))
-    guard = {"email": F.col("_t").contains("@"), "phone": F.col("_t").contains("+")}
-    found = {k: matches("_t", p) if k not in guard else F.when(guard[k], matches("_t", p)).otherwise(F.expr(_EMPTY)) for k, (p, _) in kinds.items()}
-    rows = rows.select("*", *[c.alias(f"_{k}") for k, c in found.items()])
+    return unpacked(_found(docs, threshold), names, {"spans": F.col("spans")})
+
+
+def _found(docs: DataFrame, threshold: float) -> DataFrame:
+    """(row, t, spans): the packed rows, their text and what it holds."""
+    kinds = BASE | ADDED
+    rows = packed(docs, t=F.coalesce("text", F.lit("")))
+    guard = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+")}
+    found = {k: matches("t", p) if k not in guard else F.when(guard[k], matches("t", p)).otherwise(F.expr(_EMPTY)) for k, (p, _) in kinds.items()}
+    rows = rows.select("*", *[c.alias(f"of_{k}") for k, c in found.items()])
+    some = F.size(F.concat(*[f"of_{k}" for k in kinds])) > 0
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("t") / PART).cast("int")), lambda i: F.col("t").substr(i * PART + 1, F.lit(PART + NEAR)))
+    rows = rows.withColumn("parts", F.when(some, cut))
     parts = []
     for rank, (kind, (_, score)) in enumerate(kinds.items()):
-        proposed = F.transform("_iban", whole_iban) if kind == "iban" else F.col(f"_{kind}")
+        proposed = F.transform("of_iban", whole_iban) if kind == "iban" else F.col(f"of_{kind}")
         spans = F.transform(F.filter(proposed, _valid(kind)), _span(kind, rank, score))
         parts.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= threshold))
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(*parts)).alias("spans"))
+    return rows.select("row", "t", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with each found value replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    found = find(docs)
-    kept = F.expr("""aggregate(spans, named_struct('at', 0L, 'out', ''), (acc, s) -> if(s.start < acc.at, acc,
-        named_struct('at', s.end, 'out', concat(acc.out, substring(text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), '<', s.kind, '>'))),
-        acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int))))""")
-    return found.select(*[(F.when(F.col("text").isNotNull(), kept).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    clean = F.expr("""aggregate(spans, named_struct('at', 0L, 'out', cast(array() as array<string>)), (acc, s) -> if(s.start < acc.at, acc,
+        named_struct('at', s.end, 'out', concat(acc.out, array(substring(t, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), '<', s.kind, '>')))),
+        acc -> array_join(concat(acc.out, array(substring(t, cast(acc.at + 1 as int)))), ''))""")
+    return unpacked(_found(docs, threshold), docs.columns, {"text": F.when(F.col("row.text").isNotNull(), clean)})
 
 
 def _listed(spans: Column) -> Column:
