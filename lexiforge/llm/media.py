@@ -8,7 +8,8 @@ the next band: code = first bin, second bin, distance in frames, at the first pe
 
 Defined cases: null text is empty and gives one block of blanks; long payloads are
 transformed in runs of frames, with the same result; repeated rows repeat; equal
-payloads give equal values; an empty table gives an empty result.
+payloads give equal values; an empty table gives an empty result; other columns are kept,
+but for those named like an added one, which it replaces.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ def media_columns(docs: DataFrame, keep: list[str] | None = None, columns: list[
     """The columns `keep` of docs (all if None) and the named media columns (all if None)."""
     wanted = list(COLUMNS) if columns is None else columns
     names = [c for c in (docs.columns if keep is None else keep) if c not in wanted]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("t"))
 
     def values(text: str | None) -> dict:
         n, media, back, time, code = describe(text)
@@ -120,7 +122,7 @@ def media_columns(docs: DataFrame, keep: list[str] | None = None, columns: list[
                 made.append({c: full[c] for c in wanted})
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([m[c] for m in made], COLUMNS[c]) for c in wanted]], names=[*names, *wanted])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{c} {_SPARK[c]}" for c in wanted)])
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"{c} {_SPARK[c]}" for c in wanted)])
     return rows.mapInArrow(batches, schema)
 
 

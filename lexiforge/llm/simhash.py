@@ -15,7 +15,7 @@ least of them, which links exactly those at two or fewer bits.
 Defined cases: null or white text has fingerprint zero, linked like any other;
 fewer words than a shingle hash as one; null doc_id counts as larger than others;
 repeated rows repeat; an empty table gives an empty result; `deduplicate` keeps the
-first row of each group, by (doc_id, text), with all its columns.
+first row of each group, by (doc_id, text), with all its columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import Scratch, components, text_key
+from lexiforge.llm.common import Scratch, components, packed, text_key, unpacked
 
 SHINGLE = 3
 BITS = 2
@@ -143,7 +143,7 @@ def fingerprint_roots(fps: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_key, fp, component_id): one row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save(fingerprints(docs.withColumn("doc_key", text_key()), "doc_id", "doc_key"), "marked")
+    marked = scratch.save(fingerprints(docs.select("doc_id", "text", text_key().alias("doc_key")), "doc_id", "doc_key"), "marked")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = least.join(fingerprint_roots(marked), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -156,10 +156,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     grouped = groups(docs)
     # A group's documents meet in partial minima, not in one task.
     first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("k")).select("k.doc_id", "k.doc_key")
-    mine = docs.withColumn("_doc_key", text_key())
-    kept = mine.join(first.withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")), "left_semi")
-    again = Window.partitionBy("doc_id", "_doc_key").orderBy("doc_id")
-    return kept.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = packed(docs, doc_id=F.col("doc_id"), doc_key=text_key())
+    kept = mine.join(first.withColumnsRenamed({"doc_id": "id", "doc_key": "key"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_key") == F.col("key")), "left_semi")
+    again = Window.partitionBy("doc_id", "doc_key").orderBy("doc_id")
+    return unpacked(kept.withColumn("nth", F.row_number().over(again)).where("nth = 1"), docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
