@@ -9,9 +9,23 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks spaced out, and marks dropped, by the tagging normal form.
-SPACED = [",", ".", ";", ":", "?", "!", "(", ")"]
-DROPPED = ["[", "]", "{", "}", '"', "'", "^", "\\"]
+#: Marks spaced out, made blank and dropped by the tagging normal form.
+SPACED = [".", ",", ";", ":", "(", ")", "!", "?", "-", "/", "\n"]
+BLANKED = ["=", "*", "|", "~", "«", "»"]
+DROPPED = ["’", "′", "'", "“", '"', "[", "]", "{", "}", "\\", "^"]
+#: Marks dropped by the phrase normal form.
+PHRASE_DROPPED = [
+    "’", "'", "′", "“", '"', ".", ",", "(", ")", "!", "?", "^", ";", ":", "=", "*", "|", "/", "\\", "~", "«", "»", "<", ">", "”", "[", "]", "{", "}",
+]
+#: Abbreviations whose marks stay.
+ABBREVIATIONS = ["eq.", "eqs.", "i.e.", "e.g.", "f.g.", "w.r.t.", "cf.", "dr.", "resp.", "etc.", "no.", "a.e.", "ph.d.", "i.i.d.", "fig.", "vol.", "thm."]
+#: Phrases that are no terms.
+PHRASE_BLACKLIST = [
+    "_inline_math_ and", "_inline_math_ _inline_math_", "recent years", "for _inline_math_", "_inline_math_ if", "_inline_math_ also", "suppose that", "condition for",
+    "_inline_math_ on", "_inline_math_ a", "_inline_math_ as", "_inline_math_ in", "_inline_math_ up", "_inline_math_ by", "_inline_math_ which", "_inline_math_ that",
+    "_inline_math_ the", "_inline_math_ or", "_inline_math_ of", "_inline_math_ to", "_inline_math_ it", "family of", "of the", "all _inline_math_", "a _inline_math_",
+    "well known", "group of", "r and", "a point", "a linear", "a field", "a line", "choice of", "set of", "the measure", " ", "",
+]
 
 #: Letters and marks that have no decomposition, in ASCII.
 _LATIN = str.maketrans({
@@ -47,20 +61,52 @@ def transliterate(text: Column) -> Column:
     return F.when(odd, F.pandas_udf(batches, "string")(F.when(odd, text))).otherwise(text)
 
 
-def normalize_text(text: Column, mode: str = "space") -> Column:
-    """Line-break tags and digits to blanks, letters to ASCII, marks spaced (mode 'space') or dropped ('drop'), blanks collapsed, lower case."""
-    out = F.regexp_replace(F.regexp_replace(text, r"<br\s*/?>", " "), "[0-9]+", " ")
-    out = transliterate(out)
+def _marks(text: Column, mode: str) -> Column:
+    """The mark table of a mode, all replacements at once: none makes a mark that another one takes."""
+    out = F.replace(text, F.lit("``"), F.lit(""))
     if mode == "drop":
-        out = F.translate(F.replace(out, F.lit("-"), F.lit(" ")), "".join(SPACED + DROPPED), "")
-    else:
-        out = F.translate(out, "".join(DROPPED), "")
-        out = F.regexp_replace(out, r"([,.;:?!()])", " $1 ")
-    return F.trim(F.lower(F.regexp_replace(out, "[ \t]+", " ")))
+        out = F.translate(out, "-" + "".join(PHRASE_DROPPED), " ")
+        return F.replace(out, F.lit("\n"), F.lit(" \n "))
+    out = F.translate(out, "".join(BLANKED) + "".join(DROPPED), " " * len(BLANKED))
+    return F.regexp_replace(out, r"([.,;:()!?/\n-])", " $1 ")
 
 
-def normalize_phrase(text: Column) -> Column:
-    return F.regexp_replace(normalize_text(text, "drop"), " +", "_")
+def _finished(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(text, "[ \t]+", " ")), r"^\s+|\s+$", "")
+
+
+def normalize_text(text: Column, mode: str = "space", letters: str = "map", abbreviations: list[str] | None = None) -> Column:
+    """Line-break tags and digits to blanks, letters to ASCII, marks spaced (mode 'space') or dropped ('drop'), blanks collapsed, lower case, trimmed.
+
+    Line ends stay, as words of their own. `letters`: 'map' transliterates, 'drop' leaves
+    out what is not ASCII. With `abbreviations`, in mode 'space', the longest one within a word
+    keeps its marks; a word that holds it twice goes.
+    """
+    out = F.regexp_replace(F.regexp_replace(text, r"<br\s*/? ?>", " "), "[0-9]+", " ")
+    out = F.regexp_replace(out, r"[^\x00-\x7f]+", "") if letters == "drop" else transliterate(out)
+    if abbreviations is None or mode == "drop":
+        return _finished(_marks(out, mode))
+    known = sorted(set(abbreviations), key=lambda a: (-len(a), a))
+
+    def word(w: Column) -> Column:
+        form = _marks(w, mode)
+        for abbreviation in reversed(known):
+            own = F.split(w, r"\Q" + abbreviation + r"\E", -1)
+            around = F.concat(_marks(F.get(own, F.lit(0)), mode), F.lit(abbreviation), _marks(F.get(own, F.lit(1)), mode))
+            form = F.when(F.contains(w, F.lit(abbreviation)), F.when(F.size(own) == 2, around)).otherwise(form)
+        return form
+
+    words = F.filter(F.split(out, r"\s+"), lambda w: w != "")
+    return _finished(F.array_join(F.transform(words, word), " "))
+
+
+def normalize_phrase(text: Column, letters: str = "map") -> Column:
+    return F.regexp_replace(normalize_text(text, "drop", letters), r"\s+", "_")
+
+
+def next_words(words: Column) -> Column:
+    """Pairs (word, next word) of a list of words."""
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("word"), b.alias("next")))
 
 
 def remove_math(text: Column, marker: str = "_inline_math_") -> Column:
@@ -72,15 +118,15 @@ def quoted_terms(text: Column) -> Column:
 
 
 def definition_section(text: Column) -> Column:
-    """Body of a wiki section whose heading speaks of a definition; null if there is none."""
-    body = F.regexp_extract(text, r"(?is)(=+)[^=\n]*definition[^=\n]*\1\s*\n(.*?)(?:\n\n=|$)", 2)
-    return F.when(body != "", body)
+    """Bodies of the wiki sections headed by a definition, up to a blank line and the next heading or the end; null if there is none."""
+    bodies = F.regexp_extract_all(text, F.lit(r"(?is)(=+)\s*definition\s*\1\s*?\n(.*?)(?=\n\n=|\z)"), F.lit(2))
+    return F.when(F.size(bodies) > 0, bodies)
 
 
 def metadata_map(text: Column) -> Column:
     """Commands of the form \\pmname{value} as a map from name to the list of its values."""
-    names = F.regexp_extract_all(text, F.lit(r"\\(pm[a-z]+)\{(.*?)\}"), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(r"\\(pm[a-z]+)\{(.*?)\}"), F.lit(2))
+    command = F.lit(r"\\(pm[a-z]+)\{([^}\n]*)\}")
+    names, values = F.regexp_extract_all(text, command, F.lit(1)), F.regexp_extract_all(text, command, F.lit(2))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     of = lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
     return F.map_from_entries(F.transform(F.array_distinct(names), lambda k: F.struct(k, of(k))))

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 def containment_edges(terms: DataFrame, definitions: DataFrame) -> DataFrame:
     """(src, dst): term src stands in the text of a definition of dst, which does not define src.
 
-    terms (term, words), definitions (def_id, words, defines). A term is looked up by
-    its first word among the definitions' words, then by its place: equi joins, no loop join.
+    terms (term, words), definitions (def_id, words, defines). A term is looked up by the one of
+    its words that fewest definitions hold, so a common word draws nothing together;
+    then the text itself decides.
     """
-    heads = terms.select(F.col("term").alias("src"), F.col("words").alias("tw"), F.col("words")[0].alias("w"))
-    places = definitions.select("def_id", F.col("words").alias("dw"), "defines", F.posexplode("words").alias("pos", "w"))
-    hit = places.join(heads, "w").where(F.slice("dw", F.col("pos") + 1, F.size("tw")) == F.col("tw"))
-    hit = hit.where(~F.array_contains("defines", F.col("src")))
-    return hit.select("src", F.explode("defines").alias("dst")).distinct()
+    held = definitions.select("def_id", "defines", F.explode(F.array_distinct("words")).alias("w"))
+    often = held.groupBy("w").agg(F.count("*").alias("n"))
+    parts = terms.select(F.col("term").alias("src"), F.array_join("words", " ").alias("phrase"), F.explode(F.array_distinct("words")).alias("w"))
+    # A word that no definition holds rules its term out.
+    rarest = parts.join(often, "w", "left").groupBy("src", "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("least"))
+    heads = rarest.where("least.n > 0").select("src", "phrase", F.col("least.w").alias("w"))
+    hit = held.join(heads, "w")
+    texts = definitions.select("def_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("text"))
+    hit = hit.join(texts, "def_id").where(F.contains("text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
+    return hit.where(~F.array_contains("defines", F.col("src"))).select("src", F.explode("defines").alias("dst")).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -50,8 +56,69 @@ def sources(edges: DataFrame) -> DataFrame:
     return sinks(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def closure(edges: DataFrame, save=None) -> DataFrame:
+    """(src, dst) of all pairs with a path, a node's path to itself included; paths double each round, so rounds are few.
+
+    `save` writes a round's pairs and reads them again, for graphs whose lineage would grow.
+    """
+    known = edges.select("src", "dst").distinct()
+    count = known.count()
+    while True:
+        longer = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        known = known.union(longer).distinct()
+        known = save(known) if save else known.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else known
+        now = known.count()
+        if now == count:
+            return known
+        count = now
+
+
+def acyclic(edges: DataFrame, save=None) -> DataFrame:
+    """Edges whose ends lie in no common cycle of any length: their end doesn't reach their start. What is left has no cycle."""
+    back = closure(edges, save).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.where("src <> dst").distinct().join(back, ["src", "dst"], "left_anti")
+
+
+def levels(edges: DataFrame, save=None) -> DataFrame:
+    """(node, level) of a graph without cycles: the length of the longest path to each node, so every edge goes up by one or more.
+
+    This layering is feasible, though not the one of least total height.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("level", F.lit(0))
+    while True:
+        raised = edges.join(nodes, F.col("src") == F.col("node")).groupBy("dst").agg((F.max("level") + 1).alias("least"))
+        moved = nodes.join(raised, F.col("node") == F.col("dst"), "left").select("node", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"))
+        moved = save(moved) if save else moved
+        if moved.join(nodes.withColumnRenamed("level", "was"), "node").where("level <> was").limit(1).count() == 0:
+            return moved
+        nodes = moved
+
+
+def clustering_coefficient(edges: DataFrame) -> DataFrame:
+    """(node, coefficient) in a directed graph: closed directed triangles through a node by those its degrees allow, 2 (t / (d (d - 1) - 2 r)), r its mutual edges."""
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    weight = both.groupBy("a", "b").agg(F.count("*").alias("w"))
+    degree = weight.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"), F.count_if(F.col("w") == 2).alias("r"))
+    second = weight.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w2"))
+    third = weight.select(F.col("b").alias("c"), "a", F.col("w").alias("w3"))
+    closed = weight.join(second, "b").where("a <> c").join(third, ["a", "c"]).groupBy(F.col("a").alias("node")).agg((F.sum(F.col("w") * F.col("w2") * F.col("w3")) / 2).alias("t"))
+    room = F.col("d") * (F.col("d") - 1) - 2 * F.col("r")
+    return degree.join(closed, "node", "left").select("node", F.when(room > 0, F.coalesce("t", F.lit(0.0)) / room).otherwise(0.0).alias("coefficient"))
+
+
+def hyperbolicity(quadruples: DataFrame, known: DataFrame, default: int = 5) -> DataFrame:
+    """(quad, delta) of quadruples (quad, a, b, c, d): half of the largest less the second largest of the sums of opposite distances; pairs without a path count `default`."""
+    pairs = [("a", "b", "c", "d"), ("a", "c", "b", "d"), ("a", "d", "b", "c")]
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("src"), F.col(y).alias("dst")) for k, (p, q, r, s) in enumerate(pairs) for x, y in ((p, q), (r, s))]))
+    asked = quadruples.select("quad", ends.alias("e")).select("quad", "e.*")
+    sums = bounded_distance(asked, known, default).groupBy("quad", "k").agg(F.sum("dist").alias("s"))
+    best = sums.groupBy("quad").agg(F.sort_array(F.collect_list("s"), False).alias("s"))
+    return best.select("quad", ((F.get("s", F.lit(0)) - F.get("s", F.lit(1))) / 2).alias("delta"))
+
+
 def without_cycles(edges: DataFrame, most: int) -> DataFrame:
-    """Edges that lie on no cycle of at most `most` + 1 edges: their end does not reach their start."""
+    """Edges that lie on no cycle of at most `most` + 1 edges; `acyclic` looks at cycles of any length."""
     back = distances(edges, most).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return edges.where("src <> dst").join(back, ["src", "dst"], "left_anti")
 

@@ -43,10 +43,12 @@ def kl_contributions(counts: DataFrame, baseline: DataFrame, term: str, category
     return joined.select(term, category, "n", "p", "q", (F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"), (F.col("p") / F.col("q")).alias("lift"))
 
 
-def argmax_category(contributions: DataFrame, term: str, category: str, least: int, k: int, ascending: bool = True) -> DataFrame:
+def argmax_category(contributions: DataFrame, term: str, category: str, least: int, k: int, ascending: bool = True, digits: int | None = None) -> DataFrame:
     """Terms with at least `least` uses: their total, divergence and leading category, the first k by divergence."""
     best = F.max_by(category, F.struct("kl", category))
     per = contributions.groupBy(term).agg(F.sum("n").alias("total"), F.sum("kl").alias("divergence"), best.alias("top_category"))
+    if digits is not None:
+        per = per.withColumn("divergence", F.round("divergence", digits))
     divergence = F.col("divergence").asc() if ascending else F.col("divergence").desc()
     return per.where(F.col("total") >= least).orderBy(divergence, term).limit(k)
 
@@ -78,5 +80,15 @@ def class_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per.select("class", ratio(F.col("tp"), F.col("called")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("called") + F.col("support")).alias("f1"), "support")
 
 
+def report_averages(report: DataFrame) -> DataFrame:
+    """(average, precision, recall, f1, support) of a class report: macro, weighted, and micro, which is the accuracy where every row has one class."""
+    support = F.col("support")
+    kinds = {"macro": lambda c: F.avg(c), "weighted": lambda c: F.sum(F.col(c) * support) / F.sum(support), "micro": lambda c: F.sum(F.col("recall") * support) / F.sum(support)}
+    measures = ("precision", "recall", "f1")
+    wide = report.agg(F.sum("support").alias("support"), *[of(c).alias(f"{k}_{c}") for k, of in kinds.items() for c in measures])
+    rows = F.array(*[F.struct(F.lit(k).alias("average"), *[F.col(f"{k}_{c}").alias(c) for c in measures]) for k in kinds])
+    return wide.select("support", F.explode(rows).alias("r")).select("r.*", "support")
+
+
 def share(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(100.0 * part / whole, digits)

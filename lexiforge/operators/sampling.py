@@ -22,6 +22,9 @@ def split_label(key: Column, parts: list[tuple[str, float]], seed: str = "") ->
 
 def sample_per_group(rows: DataFrame, group: str, key: str, n: int, seed: str = "") -> DataFrame:
     """n rows of each group without replacement; groups with fewer give none."""
-    w = Window.partitionBy(group)
-    marked = rows.withColumn("_x", fraction(F.col(key), seed)).withColumn("_size", F.count("*").over(w)).where(F.col("_size") >= n)
-    return marked.withColumn("_nth", F.row_number().over(w.orderBy("_x", key))).where(F.col("_nth") <= n).drop("_x", "_size", "_nth")
+    # Groups are counted map-side; then a hash bound leaves a few more than n of each, so no group is ranked as a whole.
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).where(F.col("_size") >= n)
+    bound = F.when(F.col("_size") <= 50 * n, 1.0).otherwise((n + 10 * F.sqrt(F.lit(float(n))) + 30) / F.col("_size"))
+    marked = rows.withColumn("_x", fraction(F.col(key), seed)).join(sizes, group).where(F.col("_x") <= bound)
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("_x", key))
+    return marked.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_x", "_size", "_nth")

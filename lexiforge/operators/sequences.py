@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators.stats import offsets
+
 
 def running_vocabulary(terms: DataFrame, place: str, term: str) -> DataFrame:
     """(place, total, distinct_terms, ratio): uses and different terms up to each place.
 
-    Sums per place first, so that the one ordered window runs over places, not over uses.
+    Sums per place first, then per range of places: only ranges are summed in one task.
     """
     uses = terms.groupBy(place).agg(F.count("*").alias("n"))
     new = terms.groupBy(term).agg(F.min(place).alias(place)).groupBy(place).agg(F.count("*").alias("fresh"))
-    upto = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     per = uses.join(new, place, "left").select(place, "n", F.coalesce("fresh", F.lit(0)).alias("fresh"))
-    out = per.select(place, F.sum("n").over(upto).alias("total"), F.sum("fresh").over(upto).alias("distinct_terms"))
+    out = offsets(per, place, "n", "fresh").select(place, (F.col("before_n") + F.col("n")).alias("total"), (F.col("before_fresh") + F.col("fresh")).alias("distinct_terms"))
     return out.withColumn("ratio", F.col("total") / F.col("distinct_terms"))
 
 

@@ -14,12 +14,15 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine_neighbours(rows: DataFrame, key: str, vec: str, queries: DataFrame, k: int) -> DataFrame:
+def cosine_neighbours(rows: DataFrame, key: str, vec: str, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """(query, key, score, rank): the k rows nearest to each query by cosine, itself included.
 
-    `queries` (query, q) is a stated set; it is joined in as a block when Spark finds it small enough.
+    `queries` (query, q) is a stated set; it is joined in as a block when Spark finds it small
+    enough. Ties, of rounded scores if `digits` is given, go to the least key. The window keeps
+    k rows of a query in each task before they meet.
     """
-    scored = rows.crossJoin(queries).select("query", key, (dot(vec, "q") / (norm(vec) * norm("q"))).alias("score"))
+    score = dot(vec, "q") / (norm(vec) * norm("q"))
+    scored = rows.crossJoin(queries).select("query", key, (score if digits is None else F.round(score, digits)).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

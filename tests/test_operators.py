@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
-from lexiforge.operators import graph, measures, relational, sampling, sequences, tfidf, vectors
+from lexiforge.operators import graph, measures, ner, references, relational, sampling, sequences, stats, tfidf, vectors
 
 
 def one(spark, value, column):
@@ -16,7 +16,8 @@ def test_text_functions(spark):
     assert one(spark, "Non-commutative  'ring'", T.normalize_phrase) == "non_commutative_ring"
     assert one(spark, "let $x^2$ be", T.remove_math) == "let _inline_math_ be"
     assert one(spark, 'a "field" and a "ring"', T.quoted_terms) == ["field", "ring"]
-    assert one(spark, "intro\n== Formal definition ==\nA thing is.\n\n== Other ==\nx", T.definition_section) == "A thing is."
+    assert one(spark, "intro\n== Formal definition ==\nA thing is.\n\n== Other ==\nx", T.definition_section) is None
+    assert one(spark, "intro\n== Definition ==\nA thing is.\n\n== Other ==\nx\n\n=== definition===\nB", T.definition_section) == ["A thing is.", "B"]
     assert one(spark, r"\pmtitle{group}\pmdefines{a}\pmdefines{b}", T.metadata_map) == {"pmtitle": ["group"], "pmdefines": ["a", "b"]}
     assert one(spark, "http://arxiv.org/abs/1708.01234v2", T.article_id).number == "01234"
     assert one(spark, "nothing here", T.article_id) is None
@@ -35,8 +36,13 @@ def test_normal_form_of_all_documents(spark, sf):
     def plain(text):
         out = re.sub("[0-9]+", " ", re.sub(r"<br\s*/?>", " ", text)).replace("ß", "ss").replace("¿", "?").replace("¡", "!")
         out = "".join(c for c in unicodedata.normalize("NFKD", out) if not unicodedata.combining(c))
-        out = re.sub(r"([,.;:?!()])", r" \1 ", re.sub(r"[\[\]{}\"'^\\]", "", out))
-        return re.sub("[ \t]+", " ", out).lower().strip(" ")
+        for mark in ("``", *"'\"[]{}\\^"):
+            out = out.replace(mark, "")
+        for mark in "=*|~":
+            out = out.replace(mark, " ")
+        for mark in ".,;:()!?-/\n":
+            out = out.replace(mark, f" {mark} ")
+        return re.sub("[ \t]+", " ", out).lower().strip()
 
     texts = {r.doc_id: r.text for r in Q.read(spark, sf, "documents").collect()}
     got = {r.doc_id: r.text for r in Q.normalize_text_all(spark, sf).collect()}
@@ -112,3 +118,63 @@ def test_entry(spark, sf):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_normal_form_in_full(spark):
+    """Marks of the table, line ends and abbreviations."""
+    case = "See fig. 3 of Dr.Smith's well-defined [x=y], i.e. a/b*c ``q''~«z»\nnext!"
+    assert one(spark, case, T.normalize_text) == "see fig . of dr . smiths well - defined x y , i . e . a / b c q <<z>> \n next !"
+    assert one(spark, case, lambda c: T.normalize_text(c, abbreviations=T.ABBREVIATIONS)) == "see fig. of dr . smiths well - defined x y , i.e. a / b c q <<z>> next !"
+    assert one(spark, "well-defined <map>", T.normalize_phrase) == "well_defined_map"
+    assert one(spark, "a.e.a.e. stays", lambda c: T.normalize_text(c, abbreviations=["a.e."])) == "stays"
+    assert one(spark, "é naïve", lambda c: T.normalize_text(c, letters="drop")) == "nave"
+
+
+def test_tagged_sentences(spark):
+    pairs = lambda words, labels: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("label")) for w, t in zip(words, labels)])
+    show = lambda c: [tuple(x) for x in spark.range(1).select(c.alias("x")).first().x]
+    pieces = pairs(["[CLS]", "my", "na", "##me", "is", "##n't", "[SEP]"], ["O", "O", "B", "I", "I", "O", "O"])
+    assert show(ner.merge_subtokens(pieces)) == [("my", "O"), ("name", "B"), ("isn't", "I")]
+    assert show(ner.merge_marker(pairs(["a", "_", "inline", "_", "math", "_", "inline", "_", "math", "_"], ["O", "B"] + ["O"] * 8))) == [("a", "O"), ("_inline_math_", "B"), ("inline", "O"), ("_", "O"), ("math", "O"), ("_", "O")]
+    assert show(ner.align(pairs(["na", "me", "x", "y"], ["O", "B", "I", "O"]), F.array(F.lit("name"), F.lit("xy")))) == [("name", "B"), ("xy", "I")]
+    assert spark.range(1).select(ner.cropped_terms(pieces).alias("x")).first().x == ["name isn't"]
+    assert spark.range(1).select(ner.runs(pairs("a b b c b b c".split(), "O B B O B I I".split())).alias("x")).first().x == ["b", "b b c"]
+    words = F.array(*map(F.lit, "The banach Spaces and a Banach space".split()))
+    assert "".join(spark.range(1).select(ner.title_tags(words, F.lit("Banach space")).alias("x")).first().x) == "OBIOOBI"
+    assert "".join(spark.range(1).select(ner.title_tags(words, F.lit("Banach space"), True).alias("x")).first().x) == "OOOOOBI"
+    assert spark.range(1).select(ner.title_tags(words, F.lit(" ")).alias("x")).first().x == ["O"] * 7
+    empty = F.expr("cast(array() as array<struct<word:string,label:string>>)")
+    assert show(ner.merge_subtokens(empty)) == show(ner.merge_marker(empty)) == show(ner.align(empty, F.array(F.lit("a")))) == []
+
+
+def test_graphs_of_any_depth(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0), (20, 21), (21, 22), (20, 22), (5, 20)], "src long, dst long")
+    assert {tuple(r) for r in graph.acyclic(edges).collect()} == {(20, 21), (21, 22), (20, 22), (5, 20)}
+    assert {tuple(r) for r in graph.levels(graph.acyclic(edges)).collect()} == {(5, 0), (20, 1), (21, 2), (22, 3)}
+    assert graph.closure(edges).where("src = 0").count() == 13
+
+
+def test_offsets_and_spearman(spark):
+    rows = spark.createDataFrame([(float(x), float(y)) for x, y in [(1, 2), (2, 1), (2, 3), (5, 9), (5, 9), (7, 4)]], "a double, b double")
+    got = {(r.a, r.b): r.before_b for r in stats.offsets(rows.dropDuplicates(), "a", "b").where("a <> 2").collect()}
+    assert got == {(1.0, 2.0): 0.0, (5.0, 9.0): 6.0, (7.0, 4.0): 15.0}
+    import pandas as pd
+
+    frame = pd.DataFrame([tuple(r) for r in rows.collect()], columns=["a", "b"]).rank()
+    assert abs(stats.spearman(rows, "a", "b").first().spearman - frame["a"].corr(frame["b"])) < 1e-12
+    same = spark.createDataFrame([(3.0,)] * 5, "a double")
+    assert {r.before_n for r in stats.offsets(same.groupBy("a").agg(F.count("*").alias("n")), "a", "n").collect()} == {0}
+
+
+def test_mode_needs_enough_rows(spark):
+    rows = spark.createDataFrame([("a", i, "en" if i % 3 else "de") for i in range(10)] + [("b", i, "en") for i in range(8)], "g string, i int, v string")
+    assert {tuple(r) for r in stats.mode_of_first(rows, "g", "i", "v", 5, 5).collect()} == {("a", "en"), ("b", None)}
+
+
+def test_term_references(spark):
+    glossary = spark.createDataFrame([("x", 1, 0), ("x", 2, 1), ("x", 2, 0), ("x", 3, 0), ("y", 1, 5)], "term string, addr long, p_index int")
+    paragraphs = spark.createDataFrame([(1, 0, "p10"), (2, 0, "p20" * 10), (2, 1, "p21")], "addr long, p_index int, p_tag string")
+    uses = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "z")], "addr long, term string")
+    got = {(r.term, r.addr, r.p_index): (r.truid, r.p_tag, r.weight) for r in references.term_references(glossary, paragraphs, uses, most=20).collect()}
+    assert got[("x", 2, 1)] == (2, "p21", 1.0) and ("x", 2, 0) not in got
+    assert got[("x", 3, 0)] == (3, "", 0.0) and got[("y", 1, 5)][:2] == (0, "") and 0 < got[("y", 1, 5)][2] < 1
