@@ -5,6 +5,11 @@ lines       one line of each group of near-equal lines stays; documents left emp
 near        one document of each group of near-equal fingerprints stays
 mix         sources are sampled to target weights; rows repeat as often as they are taken
 pack        token pieces with their place in training sequences
+
+Defined cases, stage by stage: a null or letterless text has no language and goes; rows that
+repeat count as one document for lines and near copies, of which one stays; a null source
+is a source of its own; a null doc_id is kept like any other; an empty table stays empty
+through all stages. Stages before the last keep every column.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import langid, linededup, mixing, packing, simhash
-from lexiforge.llm.common import Scratch
+from lexiforge.llm.common import Scratch, release
 
 #: Four languages with no evidence score 0.25; running text of one scores near 1.
 MIN_SCORE = 0.5
@@ -51,5 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        made = len(Scratch.made)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        release(made)  # what the stage stored for itself
     return docs
