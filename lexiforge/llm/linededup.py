@@ -14,11 +14,12 @@ language: on 40,000 lines they made 22 times the candidates. Candidates of which
 than AGREE of the minima agree go; of pairs of 0.8 or more under one in a hundred do.
 
 Each candidate is compared with one leader of the bucket. Lines that are then in one
-component need no further pair. Of those left in a bucket all pairs are candidates: in
-buckets of at most SMALL lines they are written out; in larger ones they first meet HELPERS
-lines of the largest component, then all others through an exact prefix filter on rare
-shingles, so a passage that thousands of lines share makes no pairs. Both ways lead to the
-same components. Pairs whose exact Jaccard coefficient of
+component need no further pair. In buckets of more than FEW lines those outside the largest
+component meet HELPERS lines of it. Of those left in a bucket all pairs are candidates: in
+buckets of at most SMALL lines their signatures are compared, each pair in the first bucket
+it shares, and only pairs that agree are written; in larger ones lines meet through an exact
+prefix filter on rare shingles, so a passage that any number of lines share makes no pairs.
+Both ways lead to the same components. Pairs whose exact Jaccard coefficient of
 whole shingle sets is at least `threshold` are edges; components, found by distributed
 union-find, keep their first line, by (doc_id, line number).
 
@@ -41,16 +42,18 @@ from lexiforge.llm.common import Scratch, components, packed, text_key, unpacked
 SPAN, SIGNED = 5, 8
 ROWS, BANDS = 3, 8
 #: Minima, of ROWS x BANDS, in which a candidate must agree; FIELD bits of each are compared.
-AGREE, FIELD = 12, 5
+AGREE, FIELD = 13, 5
 THRESHOLD = 0.8
 #: Lines longer than the first length have a signature of drawn shingles, lines up to the second one of all.
 BOTH = (120, 150)
 #: Blank, the other ASCII white space and the no-break space.
 WHITE = " \t\n\x0b\f\r\xa0"
-#: Buckets of at most so many lines beside the leader are compared pair by pair.
+#: In buckets of at most so many lines beside the leader signatures are compared pair by pair.
 SMALL = 32
-#: Lines of the largest component of a larger bucket that those outside it meet first.
-HELPERS = 6
+#: In buckets of more than FEW lines those outside the largest component meet so many lines of it first.
+FEW, HELPERS = 32, 16
+#: Shingles of a prefix that are compared so that a pair meets once.
+EARLIER = 24
 _RUNS = rf"(?s)(?=(.{{{SPAN}}}))"
 
 
@@ -167,33 +170,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of an `open` line and any other of `some` (line_id, label, open), labels unlike, that may reach the threshold and share a bucket of `large` (key, line_id).
 
     Two sets within the threshold share one of their first size - ceil(threshold * size) + 1
     shingles in any common order. The order is by the number of lines that hold a shingle, so
-    passages that many lines share come last. Shingles of one line alone come first and can't
-    be shared: they are only counted.
+    passages that many lines share come last. Shingles of one line alone, or of no open line,
+    come first and can't be shared by such a pair: they are only counted.
     """
     # Lines are exchanged, not their many shingles.
     held = some.join(texts, "line_id").select("line_id", "label", "open", F.explode(F.array(F.array_distinct(shingles(F.col("line"))))).alias("held"))
     tokens = held.select("line_id", "label", "open", F.size("held").alias("size"), F.explode("held").alias("h")).withColumn("h", F.xxhash64("h"))
-    held_by = tokens.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where("n > 1")
-    known = tokens.join(held_by, "h").groupBy("line_id", "label", "open", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h", "any_open"))).alias("known"))
+    tokens = scratch.save(tokens, "tokens")
+    held_by = tokens.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where("n > 1 and any_open").drop("any_open")
+    known = tokens.join(held_by, "h").groupBy("line_id", "label", "open", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("known"))
     first = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))
-    prefix = known.withColumn("first", first.cast("int")).where("first > 0").select("line_id", "label", "open", "size", F.size("known").alias("held"), F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "t"))
+    prefix = known.withColumn("first", first.cast("int")).where("first > 0").select("line_id", "label", "open", "size", F.size("known").alias("held"), F.transform(F.slice("known", F.lit(1), F.col("first")), lambda t: t["h"]).alias("ids"), F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "t"))
     # What a set can share if this is the first shared shingle: itself and those after it.
     prefix = prefix.withColumn("most", F.col("held") - F.col("at"))
-    prefix = prefix.where("t.any_open").select("line_id", "label", "open", "size", "most", F.col("t.h").alias("h"))
-    # Unlike lines share short shingles: only those of one bucket meet.
-    prefix = prefix.join(_one(signed, "line_id"), "line_id").join(large, "line_id")
-    other = prefix.select("key", "h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), *_other())
-    met = prefix.where("open").join(other, ["key", "h"]).where(_agree())
-    # Two open lines meet once.
-    met = met.where(F.col("label") != F.col("other_label")).where((F.col("line_id") < F.col("other")) | ~F.col("other_open"))
+    # A pair meets at its first shared shingle; the first EARLIER of each tell, and what they don't tell is made distinct.
+    prefix = prefix.select("line_id", "label", "open", "size", "most", F.slice("ids", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"), F.col("t.h").alias("h"))
+    # Unlike lines share short shingles: only those of one bucket meet. A line has as many keys as there are bands, twice that at most.
+    keys = large.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
+    prefix = scratch.save(prefix.join(_one(signed, "line_id"), "line_id").join(keys, "line_id"), "prefix")
+    other = prefix.select("h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), F.col("keys").alias("other_keys"), F.col("earlier").alias("other_earlier"), *_other())
     most = F.least("most", "other_most")
     fit = most >= threshold * (F.col("size") + F.col("other_size") - most) - 1e-9
-    return met.where(fit).select(F.col("line_id").alias("a"), F.col("other").alias("b")).distinct()
+    # Two open lines meet once.
+    once = (F.col("line_id") < F.col("other")) | ~F.col("other_open")
+    met = prefix.where("open").join(other, "h").where((F.col("label") != F.col("other_label")) & once & fit & _agree() & ~F.arrays_overlap("earlier", "other_earlier") & F.arrays_overlap("keys", "other_keys"))
+    return met.select(F.col("line_id").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def _split(led: DataFrame, roots: DataFrame) -> DataFrame:
@@ -221,24 +227,32 @@ def line_roots(lines: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     roots = scratch.save(components(edges, scratch, "near"), "roots")
     split = scratch.save(_split(led, roots), "split")
     # In larger buckets, those outside the component of most lines meet some lines of it first: one link is as good as all.
-    drawn = [F.max(F.struct(F.xxhash64("key", "line_id", F.lit(i)), "line_id"))["line_id"] for i in range(HELPERS)]
-    large = split.where(F.col("n") > small)
-    helpers = large.where("label = most").groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("helpers")).select("key", F.explode("helpers").alias("a"))
+    # Half of them are drawn, half are the shortest: of lines that share a passage, those with the least beside it are near most others.
+    large = split.where(F.col("n") > FEW)
+    drawn = [F.max(F.struct(F.xxhash64("key", "line_id", F.lit(i)), "line_id"))["line_id"] for i in range(HELPERS // 2)]
+    of = large.where("label = most").join(texts.select("line_id", "size"), "line_id")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "line_id"))
+    shortest = of.withColumn("nth", rank).where(F.col("nth") <= HELPERS // 2).select("key", F.col("line_id").alias("a"))
+    helpers = of.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("helpers")).select("key", F.explode("helpers").alias("a")).union(shortest).distinct()
     asked = large.where("label <> most").select("key", F.col("line_id").alias("b")).join(helpers, "key").select("a", "b").distinct()
     helped = _verified(_likely(asked, signed), texts, threshold)
     stars = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
     roots = scratch.save(components(scratch.save(stars.union(helped), "helped"), scratch, "nearer"), "roots2")
     split = scratch.save(_split(led, roots), "split2")
-    few = split.where(F.col("n") <= small).join(_one(signed, "line_id"), "line_id").select("key", F.col("line_id").alias("a"), F.col("label").alias("la"), "kind", "alone", "a0", "a1")
-    other = few.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), *_other())
-    few = few.join(other, "key").where("a < b and la <> lb").where(_agree()).select("a", "b").distinct()
+    few = split.where(F.col("n") <= small).select("key", "line_id", "label")
+    # At most BANDS keys of a kind each: a pair is compared in all of its buckets, but written in the least of them only.
+    shared = few.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
+    few = few.join(shared, "line_id").join(_one(signed, "line_id"), "line_id").select("key", F.col("line_id").alias("a"), F.col("label").alias("la"), "keys", "kind", "alone", "a0", "a1")
+    few = scratch.save(few, "few")
+    other = few.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("keys").alias("other_keys"), *_other())
+    few = few.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree() & (F.col("key") == F.array_min(F.array_intersect("keys", "other_keys")))).select("a", "b").distinct()
     # Those still outside meet all others of their buckets through rare shingles.
     large = split.where(F.col("n") > small)
     some = large.groupBy("line_id", "label").agg(F.max(F.col("label") != F.col("most")).alias("open"))
-    pairs = scratch.save(few.union(_prefix_pairs(some, large.select("key", "line_id"), texts, signed, threshold)).distinct(), "pairs")
+    pairs = scratch.save(few.union(_prefix_pairs(some, large.select("key", "line_id"), texts, signed, threshold, scratch)).distinct(), "pairs")
     more = _verified(pairs, texts, threshold)
     links = scratch.save(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
-    for name in ("signed", "led", "texts", "stars", "roots", "split", "helped", "roots2", "split2", "pairs"):
+    for name in ("signed", "led", "texts", "stars", "roots", "split", "helped", "roots2", "split2", "few", "tokens", "prefix", "pairs"):
         scratch.drop(name)
     return components(links, scratch)
 
