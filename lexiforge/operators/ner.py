@@ -17,6 +17,11 @@ MARKER = ("_", "inline", "_", "math", "_")
 _WORDS = "cast(array() as array<struct<word:string,label:string>>)"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def zipped(words: Column, labels: Column) -> Column:
     return F.zip_with(words, labels, lambda w, l: F.struct(w.alias("word"), l.alias("label")))
 
@@ -38,15 +43,18 @@ def merge_marker(pieces: Column, marker: tuple[str, ...] = MARKER) -> Column:
     n, joined = len(marker), "".join(marker)
     start = F.struct(F.expr(_WORDS).alias("out"), F.lit(0).alias("skip"))
 
-    def add(acc: Column, i: Column) -> Column:
-        p = F.element_at(pieces, i)
-        whole = F.transform(F.slice(pieces, i, n), lambda x: x["word"]) == F.array(*map(F.lit, marker))
+    def add(acc: Column, i: Column, own: Column) -> Column:
+        p = F.element_at(own, i)
+        whole = F.transform(F.slice(own, i, n), lambda x: x["word"]) == F.array(*map(F.lit, marker))
         word = F.struct(F.when(whole, joined).otherwise(p["word"]).alias("word"), p["label"].alias("label"))
         kept = F.struct(F.concat(acc["out"], F.array(word)).alias("out"), F.when(whole, n - 1).otherwise(0).alias("skip"))
         return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(kept)
 
-    places = F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(places, start, add, lambda acc: acc["out"])
+    def fold(own: Column) -> Column:
+        places = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.aggregate(places, start, lambda acc, i: add(acc, i, own), lambda acc: acc["out"])
+
+    return once(pieces, fold)
 
 
 def align(pieces: Column, gold: Column) -> Column:
@@ -83,18 +91,17 @@ def cropped_terms(pieces: Column) -> Column:
 
 def title_tags(words: Column, title: Column, exact: bool = False) -> Column:
     """B and I where the title's words stand, greedily and without case, O elsewhere; a word need only begin with the title's unless `exact`."""
-    name = F.filter(F.split(F.lower(title), r"\s+"), lambda t: t != "")
     start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("left"))
     fits = lambda w, t: F.coalesce(F.lower(w) == t if exact else F.startswith(F.lower(w), t), F.lit(False))
 
-    def add(acc: Column, i: Column) -> Column:
+    def add(acc: Column, i: Column, name: Column) -> Column:
         here = F.slice(words, i, F.greatest(F.size(name), F.lit(1)))
         hit = (F.size(name) > 0) & (F.size(here) == F.size(name)) & F.forall(F.zip_with(here, name, fits), lambda x: x)
         fresh = F.struct(F.concat(acc["out"], F.array(F.when(hit, "B").otherwise("O"))).alias("out"), F.when(hit, F.size(name) - 1).otherwise(0).alias("left"))
         return F.when(acc["left"] > 0, F.struct(F.concat(acc["out"], F.array(F.lit("I"))).alias("out"), (acc["left"] - 1).alias("left"))).otherwise(fresh)
 
     places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(places, start, add, lambda acc: acc["out"])
+    return once(F.filter(F.split(F.lower(title), r"\s+"), lambda t: t != ""), lambda name: F.aggregate(places, start, lambda acc, i: add(acc, i, name), lambda acc: acc["out"]))
 
 
 def sentences(rows: DataFrame, text: str, *keep: str) -> DataFrame:
