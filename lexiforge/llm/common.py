@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]++"
@@ -81,15 +84,41 @@ def _at_exit() -> None:
         Scratch.made.clear()
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def packed(docs: DataFrame, **beside: Column) -> DataFrame:
     """The rows of docs in one struct `row`, so that no name of theirs meets one of an operator's, and columns beside it."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in beside.items()])
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in beside.items()])
 
 
 def unpacked(rows: DataFrame, names: list[str], out: dict[str, Column] | None = None) -> DataFrame:
-    """The columns `names` of the packed rows and those of `out`, which replace or follow them."""
+    """The columns `names` of the packed rows and those of `out`, which replace or follow them; Spark's names ignore case, so these do."""
     out = out or {}
-    return rows.select(*[(out[c] if c in out else F.col(f"row.`{c}`")).alias(c) for c in names], *[v.alias(k) for k, v in out.items() if k not in names])
+    by_low, taken = {k.lower(): k for k in out}, {c.lower() for c in names}
+    return rows.select(*[out[by_low[c.lower()]].alias(c) if c.lower() in by_low else F.col(f"row.{quoted(c)}").alias(c) for c in names], *[v.alias(k) for k, v in out.items() if k.lower() not in taken])
+
+
+def others(names: list[str], added: Iterable[str]) -> list[str]:
+    """Those of the names that an added column doesn't replace; names that differ in case only are the same."""
+    low = {c.lower() for c in added}
+    return [c for c in names if c.lower() not in low]
+
+
+def with_batches(docs: DataFrame, keep: list[str], of: list[Column], added: str, make: Callable) -> DataFrame:
+    """The columns `keep` of docs and those of the schema `added`, which `make` gives for each Arrow batch of the columns `of`; an added column replaces one of its name."""
+    more = StructType.fromDDL(added)
+    keep = others(keep, more.names)
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], *[c.alias(f"of{i}") for i, c in enumerate(of)])
+    shape = StructType([*rows.schema.fields[: len(keep)], *more.fields])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *make(*batch.columns[len(keep) :])], names=shape.names)
+
+    made = rows.mapInArrow(batches, shape)
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *more.names)
 
 
 def text_key(text: str = "text", doc_id: str = "doc_id") -> Column:
