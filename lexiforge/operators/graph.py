@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators.stored import Rounds
+
+
+#: Words of a term by which it is first looked up.
+ANCHOR = 3
+
 
 def containment_edges(terms: DataFrame, definitions: DataFrame) -> DataFrame:
     """(src, dst): term src stands in the text of a definition of dst, which does not define src.
 
-    terms (term, words), definitions (def_id, words, defines). A term is looked up by the one of
-    its words that fewest definitions hold, so a common word draws nothing together;
-    then the text itself decides.
+    terms (term, words), definitions (def_id, words, defines). The first ANCHOR words of a term, or all
+    of a shorter one, meet the runs of as many words of all definitions by their hash; a definition's words
+    then meet all that was found in it once, and decide.
     """
-    held = definitions.select("def_id", "defines", F.explode(F.array_distinct("words")).alias("w"))
-    often = held.groupBy("w").agg(F.count("*").alias("n"))
-    parts = terms.select(F.col("term").alias("src"), F.array_join("words", " ").alias("phrase"), F.explode(F.array_distinct("words")).alias("w"))
-    # A word that no definition holds rules its term out.
-    rarest = parts.join(often, "w", "left").groupBy("src", "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("least"))
-    heads = rarest.where("least.n > 0").select("src", "phrase", F.col("least.w").alias("w"))
-    hit = held.join(heads, "w")
-    texts = definitions.select("def_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("text"))
-    hit = hit.join(texts, "def_id").where(F.contains("text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    return hit.where(~F.array_contains("defines", F.col("src"))).select("src", F.explode("defines").alias("dst")).distinct()
+    width = F.least(F.size("words"), F.lit(ANCHOR))
+    hashed = lambda at, w: F.xxhash64(F.lit(w), *[F.get("words", at + i) for i in range(w)])
+    none = F.lit(0)
+    heads = terms.where("size(words) > 0").select(F.col("term").alias("src"), F.col("words").alias("held"), F.coalesce(*[F.when(width == w, hashed(none, w)) for w in range(1, ANCHOR + 1)]).alias("h"), width.alias("width"))
+    runs = definitions.select("def_id", F.lit(0).alias("at"), F.lit(None).cast("long").alias("h")).where("false")
+    for w in sorted(r[0] for r in heads.select("width").distinct().collect()):  # of 1 to ANCHOR
+        at = F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("at")
+        runs = runs.union(definitions.where(F.size("words") >= w).select("def_id", "words", at).select("def_id", F.col("at") + 1, hashed(F.col("at"), w)))
+    met = runs.join(heads, "h").groupBy("def_id", "src").agg(F.collect_set("at").alias("ats"), F.first("held").alias("held"))
+    per = met.groupBy("def_id").agg(F.collect_list(F.struct("src", "held", "ats")).alias("found"))
+    real = F.filter("found", lambda f: F.exists(f["ats"], lambda at: F.slice(F.col("words"), at, F.size(f["held"])) == f["held"]) & ~F.array_contains("defines", f["src"]))
+    rows = definitions.join(per, "def_id").select("defines", F.explode(real).alias("f"))
+    return rows.select(F.col("f.src").alias("src"), F.explode("defines").alias("dst")).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -32,14 +42,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.withColumn("specificity", F.col("n_out") - F.col("n_in"))
 
 
-def distances(edges: DataFrame, most: int) -> DataFrame:
-    """(src, dst, dist) of all pairs with a path of at most `most` edges, by rounds of joins."""
-    edges = edges.select("src", "dst").distinct()
-    known = edges.where("src <> dst").withColumn("dist", F.lit(1))
-    front = known
-    for step in range(2, most + 1):
+def distances(edges: DataFrame, most: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, dist) of all pairs with a path, of at most `most` edges if given, from all nodes or from those of `sources` (node).
+
+    A round goes one edge further from the pairs that are new; each is saved, so none is worked out twice.
+    """
+    rounds = Rounds(edges.sparkSession, "distances")
+    edges = rounds.save(edges.select("src", "dst").where("src <> dst").distinct())
+    first = edges if sources is None else edges.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    front = rounds.save(first.withColumn("dist", F.lit(1)))
+    known, step = front, 1
+    while (most is None or step < most) and not front.isEmpty():
+        step += 1
         ahead = front.select("src", F.col("dst").alias("mid")).join(edges.withColumnsRenamed({"src": "mid"}), "mid").select("src", "dst").where("src <> dst").distinct()
-        front = ahead.join(known, ["src", "dst"], "left_anti").withColumn("dist", F.lit(step))
+        front = rounds.save(ahead.join(known, ["src", "dst"], "left_anti").withColumn("dist", F.lit(step)))
         known = known.union(front)
     return known
 
@@ -53,45 +69,162 @@ def sinks(edges: DataFrame) -> DataFrame:
 
 
 def sources(edges: DataFrame) -> DataFrame:
-    return sinks(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return sinks(reversed_edges(edges))
 
 
-def closure(edges: DataFrame, save=None) -> DataFrame:
-    """(src, dst) of all pairs with a path, a node's path to itself included; paths double each round, so rounds are few.
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs with a path, a node's path to itself included; paths double each round, so rounds are few. Every pair is a row: ask `strong_components` or `distances` from some sources where these do."""
+    rounds = Rounds(edges.sparkSession, "closure")
+    known = rounds.save(edges.select("src", "dst").distinct())
+    count, before = known.count(), 0
+    while count != before:
+        longer = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        known = rounds.save(known.union(longer).distinct())
+        rounds.keep(1)
+        count, before = known.count(), count
+    return known
 
-    `save` writes a round's pairs and reads them again, for graphs whose lineage would grow.
-    """
-    known = edges.select("src", "dst").distinct()
-    count = known.count()
+
+#: Once no more edges are left, one task ends the search; more go another round.
+FINISH = 100_000
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes that no edge enters, or none leaves, are taken away."""
+    edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    return edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def _components_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, component) by one depth-first walk over a bounded number of edges; component is any node of it."""
+    ahead: dict[int, list[int]] = {}
+    for a, b in zip(edges["src"].tolist(), edges["dst"].tolist()):
+        ahead.setdefault(a, []).append(b)
+    order, low, open_, walk, out = {}, {}, [], [], {}
+    for start in ahead:
+        if start in order:
+            continue
+        walk.append((start, iter(ahead[start])))
+        order[start] = low[start] = len(order)
+        open_.append(start)
+        while walk:
+            node, rest = walk[-1]
+            step = next(rest, None)
+            if step is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == order[node]:
+                    while node not in out:
+                        out[open_.pop()] = node
+            elif step not in order:
+                order[step] = low[step] = len(order)
+                open_.append(step)
+                walk.append((step, iter(ahead.get(step, ()))))
+            elif step not in out:
+                low[node] = min(low[node], order[step])
+    return pd.DataFrame({"node": list(out), "colour": list(out.values())}, dtype="int64")
+
+
+def _coloured(edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, f, b): the greatest colour of the nodes that reach a node, and of those it reaches, its own included."""
+    state = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.xxhash64("node").alias("f"), F.xxhash64("node").alias("b"))
+    total = None
     while True:
-        longer = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        known = known.union(longer).distinct()
-        known = save(known) if save else known.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else known
-        now = known.count()
-        if now == count:
-            return known
-        count = now
+        on = edges.join(state.select(F.col("node").alias("src"), "f"), "src").select(F.col("dst").alias("node"), "f", F.lit(None).cast("long").alias("b"))
+        back = edges.join(state.select(F.col("node").alias("dst"), "b"), "dst").select(F.col("src").alias("node"), F.lit(None).cast("long").alias("f"), "b")
+        state = rounds.save(state.union(on).union(back).groupBy("node").agg(F.max("f").alias("f"), F.max("b").alias("b")))
+        # Colours only grow, so their sum stands still when all do.
+        before, total = total, state.agg(F.sum(F.col("f").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        if before == total:
+            return state
 
 
-def acyclic(edges: DataFrame, save=None) -> DataFrame:
-    """Edges whose ends lie in no common cycle of any length: their end doesn't reach their start. What is left has no cycle."""
-    back = closure(edges, save).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.where("src <> dst").distinct().join(back, ["src", "dst"], "left_anti")
+def strong_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
+    """(node, component): nodes that reach one another share a component, the greatest of them; node and component are longs.
+
+    By trimming and forward-backward colouring: nodes at the ends, on no cycle, go; the others take
+    the greatest hash of what reaches them and of what they reach. Where the two are one, that
+    node and all of its colour are a component. Of the rest, ends of an edge with unlike colours
+    share no component: such edges go, and what is left goes round again. The work of a step is a join on
+    the edges left; nothing holds all pairs that are connected. At most `finish` edges left are
+    ended by one depth-first walk, with the same components.
+    """
+    rounds = Rounds(edges.sparkSession, "components")
+    edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    left = rounds.save(edges.where("src <> dst").distinct())
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    found = None
+    while count := left.count():
+        if count <= finish:
+            part = rounds.save(left.groupBy().applyInPandas(_components_of, "node long, colour long"))
+            found = part if found is None else found.union(part)
+            break
+        left = rounds.save(_trimmed(left))
+        colours = _coloured(left, rounds)
+        part = rounds.save(colours.where("f = b").select("node", F.col("f").alias("colour")))
+        found = part if found is None else found.union(part)
+        rest = colours.where("f <> b")
+        left = left.join(rest.select(F.col("node").alias("src"), "f", "b"), "src").join(rest.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2")), "dst")
+        left = rounds.save(left.where("f = f2 and b = b2").select("src", "dst"))
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    named = found.join(found.groupBy("colour").agg(F.max("node").alias("component")), "colour").select("node", "component")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """Edges whose ends lie in no common cycle of any length: in different strong components. What is left has no cycle."""
+    real = edges.where("src <> dst").distinct()
+    of = strong_components(edges)
+    real = real.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    return real.where("a <> b").select("src", "dst")
 
 
-def levels(edges: DataFrame, save=None) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level) of a graph without cycles: the length of the longest path to each node, so every edge goes up by one or more.
 
-    This layering is feasible, though not the one of least total height.
+    A round passes on the levels that rose, and saves them. This layering is feasible, though not the one of least total height.
     """
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("level", F.lit(0))
+    rounds = Rounds(edges.sparkSession, "levels")
+    edges = rounds.save(edges.select("src", "dst").distinct())
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit(0).alias("level"), F.lit(True).alias("new"))
     while True:
-        raised = edges.join(nodes, F.col("src") == F.col("node")).groupBy("dst").agg((F.max("level") + 1).alias("least"))
-        moved = nodes.join(raised, F.col("node") == F.col("dst"), "left").select("node", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"))
-        moved = save(moved) if save else moved
-        if moved.join(nodes.withColumnRenamed("level", "was"), "node").where("level <> was").limit(1).count() == 0:
-            return moved
-        nodes = moved
+        raised = edges.join(nodes.where("new").select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("least"))
+        both = nodes.join(raised, "node", "left")
+        nodes = rounds.save(both.select("node", F.greatest("level", "least").alias("level"), F.coalesce(F.col("least") > F.col("level"), F.lit(False)).alias("new")))
+        if nodes.where("new").isEmpty():
+            return nodes.select("node", "level")
+
+
+def ancestors(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(node, ancestor): all nodes with a path to a node of `of` (node); `descendants` of them along the reversed edges."""
+    return distances(reversed_edges(edges), sources=of).select(F.col("src").alias("node"), F.col("dst").alias("ancestor"))
+
+
+def descendants(edges: DataFrame, of: DataFrame) -> DataFrame:
+    return distances(edges, sources=of).select(F.col("src").alias("node"), F.col("dst").alias("descendant"))
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def drawn_quadruples(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(quad, a, b, c, d): `n` quadruples of nodes (node) drawn by hash, with at most 4 n distinct nodes, so that distances are needed from few sources only."""
+    drawn = nodes.select("node", F.xxhash64(F.lit(seed), "node").alias("h")).orderBy("h", "node").limit(4 * n)
+    # The 4 n drawn rows are numbered in one small task.
+    placed = drawn.withColumn("at", F.row_number().over(Window.orderBy("h", "node")) - 1).withColumn("k", F.floor(F.col("at") / n).cast("int"))
+    return placed.groupBy((F.col("at") % n).alias("quad")).pivot("k", [0, 1, 2, 3]).agg(F.first("node")).toDF("quad", "a", "b", "c", "d").where("d is not null")
+
+
+def mean_hyperbolicity(edges: DataFrame, n: int, seed: int = 0, default: int = 5) -> DataFrame:
+    """(quads, mean, most): over `n` drawn quadruples; distances are worked out from the drawn nodes only, to any depth."""
+    rounds = Rounds(edges.sparkSession, "quadruples")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    quads = rounds.save(drawn_quadruples(nodes, n, seed))
+    drawn = quads.select(F.explode(F.array("a", "b", "c", "d")).alias("node")).distinct()
+    return hyperbolicity(quads, distances(edges, sources=drawn), default).agg(F.count("*").alias("quads"), F.avg("delta").alias("mean"), F.max("delta").alias("most"))
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
@@ -117,12 +250,6 @@ def hyperbolicity(quadruples: DataFrame, known: DataFrame, default: int = 5) ->
     return best.select("quad", ((F.get("s", F.lit(0)) - F.get("s", F.lit(1))) / 2).alias("delta"))
 
 
-def without_cycles(edges: DataFrame, most: int) -> DataFrame:
-    """Edges that lie on no cycle of at most `most` + 1 edges; `acyclic` looks at cycles of any length."""
-    back = distances(edges, most).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.where("src <> dst").join(back, ["src", "dst"], "left_anti")
-
-
 def clustering(edges: DataFrame) -> DataFrame:
     """(node, triangles): closed triples through each node, directions ignored."""
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()

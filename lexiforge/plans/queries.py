@@ -355,13 +355,13 @@ def graph_reach(spark, sf):
     return graph.distances(_edges(spark, sf), 4)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, r(src, dst, dist) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.dist + 1 FROM r JOIN e ON r.dst = e.src WHERE r.dist < 4),
+@query(f"""WITH RECURSIVE {_EDGES}, r(src, dst, dist) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.dist + 1 FROM r JOIN e ON r.dst = e.src WHERE r.dist < 25),
 m AS (SELECT src, dst, min(dist) AS dist FROM r WHERE src <> dst GROUP BY src, dst)
 SELECT a.n_nationkey::BIGINT AS src, b.n_nationkey::BIGINT AS dst, coalesce(dist, 5)::INTEGER AS dist FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey LEFT JOIN m ON m.src = a.n_nationkey AND m.dst = b.n_nationkey""")
 def graph_bounded_dist(spark, sf):
     n = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("src"), "n_regionkey")
     pairs = n.join(n.withColumnRenamed("src", "dst"), "n_regionkey").where("src <> dst").select("src", "dst")
-    return graph.bounded_distance(pairs, graph.distances(_edges(spark, sf), 4))
+    return graph.bounded_distance(pairs, graph.distances(_edges(spark, sf)))
 
 
 @query("SELECT r_regionkey::BIGINT AS node FROM region WHERE false UNION SELECT DISTINCT o_custkey + 1000000000 FROM orders")
@@ -375,10 +375,10 @@ def graph_triangles(spark, sf):
     return graph.clustering(_edges(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, r(src, dst, dist) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.dist + 1 FROM r JOIN e ON r.dst = e.src WHERE r.dist < 3)
-SELECT DISTINCT src, dst FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = e.dst AND r.dst = e.src AND r.src <> r.dst)""")
+@query(f"""WITH RECURSIVE {_EDGES}, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+SELECT src, dst FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = e.dst AND r.dst = e.src)""")
 def graph_acyclic(spark, sf):
-    return graph.without_cycles(_edges(spark, sf), 3)
+    return graph.acyclic(_edges(spark, sf))
 
 
 @query("""WITH t AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS w FROM benchmark), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS w FROM documents)

@@ -100,7 +100,7 @@ def test_graph(spark):
     far = {(r.src, r.dst): r.dist for r in graph.distances(edges, 5).collect()}
     assert far[1, 4] == 3 and (4, 1) not in far
     assert [r.node for r in graph.sinks(edges).collect()] == [4] and graph.sources(edges).count() == 0
-    assert [(r.src, r.dst) for r in graph.without_cycles(edges, 5).collect()] == [(3, 4)]
+    assert [(r.src, r.dst) for r in graph.acyclic(edges).collect()] == [(3, 4)]
     terms = spark.createDataFrame([("ring", ["ring"]), ("finite field", ["finite", "field"])], "term string, words array<string>")
     defs = spark.createDataFrame([(1, ["a", "finite", "field", "is", "a", "ring"], ["finite field"])], "def_id int, words array<string>, defines array<string>")
     assert [tuple(r) for r in graph.containment_edges(terms, defs).collect()] == [("ring", "finite field")]
