@@ -130,6 +130,15 @@ def chunk_score(gold: DataFrame, guessed: DataFrame, keys: list[str]) -> DataFra
     return met.select("n_both", "n_left", "n_right", p.alias("precision"), r.alias("recall"), ratio(2 * F.col("n_both"), 2 * F.col("n_both") + F.col("n_left") + F.col("n_right")).alias("f1"))
 
 
+def entity_scores(rows: DataFrame, group: str, place: str, gold: str, guess: str, ignored: int = -100, outside: int = 0) -> DataFrame:
+    """One row (precision, recall, f1, accuracy) of labelled words: those with the gold label `ignored` are left out first; then runs of any label but `outside` are entities, of which place and length must agree."""
+    left = rows.where((F.col(gold) != ignored) | F.col(gold).isNull()).select(group, place, *[F.coalesce(F.col(c) != outside, F.lit(False)).alias(k) for c, k in ((gold, "in_gold"), (guess, "in_guess"))])
+    runs = {k: spans(sequences.bio_tags(left, group, place, k), group, place, "bio") for k in ("in_gold", "in_guess")}
+    right = left.agg(F.avg((F.col("in_gold") == F.col("in_guess")).cast("double")).alias("accuracy"))
+    scores = chunk_score(runs["in_gold"], runs["in_guess"], [group, "start", "n"])
+    return scores.crossJoin(right).select("precision", "recall", "f1", "accuracy")  # a row each
+
+
 def span_scores(rows: DataFrame, group: str, place: str, tag: str) -> DataFrame:
     """(group, text, score, start, stop) of rows with word, prob, begin, end: each chunk's text, mean probability and offsets."""
     order = Window.partitionBy(group).orderBy(place)
