@@ -18,7 +18,7 @@ def csv_log(spark: SparkSession, path: str, schema: str, index: str = "_c0") ->
 def append_csv(rows: DataFrame, path: str, index: str = "_c0") -> None:
     """Adds rows to a CSV log as new files; the index counts rows up, with gaps."""
     numbered = rows.select(F.monotonically_increasing_id().alias(index), *rows.columns)
-    numbered.write.mode("append").csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
+    numbered.write.mode("append").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quote='"', escape='"', quoteAll=True, emptyValue="")
 
 
 def insert_rows(rows: DataFrame, path: str) -> None:
