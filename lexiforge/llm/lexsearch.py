@@ -193,7 +193,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, block_bytes: int = BLO
         for r in held:
             df[r.term] = r.df
         weights = np.array([math.floor(SCALE * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
-        best = selected(scored(rows, shared, session.sparkContext.broadcast(weights), n_docs, max(1, n_terms), k), k)
+        # Saved, for ranges are drawn from a sample of it first.
+        local = scratch.save(scored(rows, shared, session.sparkContext.broadcast(weights), n_docs, max(1, n_terms), k), f"local{b}")
+        best = selected(local, k)
         names = session.createDataFrame([(i, r.item_id) for i, r in enumerate(block)], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
         found = best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")  # one row for each item of the block
         out = found if out is None else out.union(found)
