@@ -27,7 +27,7 @@ from lexiforge.llm.common import Scratch
 
 M = 16
 EF_BUILD = 96
-EF_SEARCH = 160
+EF_SEARCH = 32
 SHARD_ROWS = 4096
 QUERY_BLOCK = 512
 INDEX_SCHEMA = "shard string, dim int, n int, entry int, top int, levels binary, neighbours binary, vectors binary, ids binary, id_from binary"
@@ -186,7 +186,11 @@ def search(shards: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -
     blocks = queries.withColumn("dim", F.size("x")).withColumn("block", F.xxhash64("query_id"))
     sizes = blocks.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
     blocks = blocks.join(F.broadcast(sizes), "dim").groupBy("dim", F.pmod("block", "blocks").alias("block")).agg(F.collect_list(F.struct("query_id", "x")).alias("queries"))
-    met = shards.join(blocks, "dim")  # each block meets each shard of its vector length
+    # Each block meets each shard of its vector length; the names of shards are dealt first, so every shard is a task's own.
+    names = shards.select("dim", "shard")
+    n = max(1, names.count())
+    asked = names.join(blocks, "dim").select("shard", "queries").repartition(n, "shard")
+    met = shards.drop("dim").withColumn("dim", F.substring_index("shard", "-", 1).cast("int")).repartition(n, "shard").join(asked, "shard")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
