@@ -6,7 +6,9 @@ of links is bad, a long one that holds stop words as running text does is good,
 or unclear one is open. In the second pass open blocks take the label of the nearest
 decided blocks before and after, of the same article if they stand in one, whose ends
 count as good; where the two differ, a block is good if it lies in the article or is long
-enough, or a heading.
+enough, or a heading. So within an article links alone drop nothing, and only what is named
+as something else goes. Where a page's longer blocks hold few stop words of any of the languages,
+length and links decide without them.
 
 Attributes are read as browsers do: a quote counts only behind an equals sign. Every
 character is read a bounded number of times. An element that is left out with all it holds
@@ -17,19 +19,20 @@ Defined cases: null or empty html has empty text; a page cut off in the middle c
 closed at its end; unknown elements are transparent; comments, scripts, styles,
 forms and the like are skipped with all they hold; a script or style without an end hides
 the rest; repeated rows repeat; an empty table gives an empty result; other columns are
-kept by `extract`, but for those named text and n_chars, which it replaces.
+kept by `extract`, but for those named text and n_chars in any case, which it replaces.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import with_batches
+
 SHORT, LONG = 70, 200
 LINKS_BAD, LINKS_SOME = 0.5, 0.2
 STOP_HIGH, STOP_LOW = 0.30, 0.12
@@ -55,11 +58,17 @@ FRAMES = frozenset("nav aside footer header".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of class, id and role attributes that name something beside the main text.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe\w*|sidebar\w*|side|aside|menus?|nav\w*|breadcrumbs?|footer\w*|foot|header|masthead|topbar|toolbar|comments?|comment-?list|replies|reply|disqus|respond|discussion|related|recommended|share|sharing|social|widgets?|login|signup|search|pagination|pager|tags|copyright|disclaimer|complementary|contentinfo|navigation|skip)(?:$|[\s_\d-])",
-    re.I,
-)
+#: Words of class, id and role attributes that name something beside the main text: as a part of a name,
+#: as a whole name, and as a whole name of what stands in no article (in one, the block itself decides).
+_PART_NAMES = r"ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe\w*|sidebar\w*|menus?|nav\w*|breadcrumbs?|footer\w*|masthead|topbar|comments?|comment-?list|replies|disqus|related|recommended|social|login|signup|pagination|pager|copyright|disclaimer|complementary|contentinfo|navigation"
+_WHOLE_NAMES = r"notices?|alerts?|aside|respond|reply|toolbar|skip"
+_OUTER_NAMES = r"side|foot|header|discussion|share|sharing|widgets?|search|tags"
+ASIDE_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_PART_NAMES})(?:$|[\s_\d-])|(?:^|\s)(?:{_WHOLE_NAMES})[\d_-]*(?:$|\s)", re.I)
+OUTER_NAMES = re.compile(rf"(?:^|\s)(?:{_OUTER_NAMES})[\d_-]*(?:$|\s)", re.I)
+#: An article so named is what a reader wrote.
+READER_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_\d-])", re.I)
+#: Headings, paragraphs and list items have names for their looks.
+UNNAMED = frozenset("html body p li h1 h2 h3 h4 h5 h6".split())
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|text)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -70,6 +79,7 @@ _ATTR = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++))
 _TOLD = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
 
 
 class Block:
@@ -186,8 +196,11 @@ class Reader:
         self.count[name] = self.count.get(name, 0) + 1
         names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
         begins = name in ("article", "main") and not self.frame
-        if name not in ("html", "body") and names.strip():
-            if ASIDE_NAMES.search(names) and name not in ("article", "main", "p", "h1"):
+        if name not in UNNAMED and names.strip():
+            if name in ("article", "main"):
+                self.frame = self.frame or (name == "article" and bool(READER_NAMES.search(names)))
+                begins = begins and not self.frame
+            elif ASIDE_NAMES.search(names) or (not self.main and OUTER_NAMES.search(names)):
                 self.frame = True
             elif MAIN_NAMES.search(names) and name in BLOCKS and not self.frame:
                 begins = True
@@ -250,30 +263,49 @@ def blocks_of(page: str) -> list[Block]:
     return Reader(page).blocks()
 
 
-def first_label(block: Block, framed: bool) -> str:
-    """good, bad or open, by the block alone; `framed`: the page has an article."""
-    n, inside = len(block.text), block.inside > 0
-    links = block.linked / n
-    if block.frame or (links > LINKS_BAD and not (inside and block.heading)):
-        return "bad"
+def weight(text: str) -> int:
+    """Length of a text, in which a character of the scripts without blanks counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def stop_share(block: Block) -> tuple[int, int]:
+    """(stop words, words) of a block."""
     words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_label(block: Block, framed: bool, known: bool) -> str:
+    """good, bad or open, by the block alone; `framed`: the page has an article; `known`: it is written in a language of the stop words, else length and links decide."""
+    n, inside = weight(block.text), block.inside > 0
+    links = block.linked / len(block.text)
+    if block.frame or (links > LINKS_BAD and not inside):
+        return "bad"
+    stops, words = stop_share(block)
+    share = stops / words if words else 0.0
     if inside:
-        return "good" if n >= SHORT and stops >= STOP_LOW and links <= LINKS_SOME else "open"
+        return "good" if n >= SHORT and (share >= STOP_LOW or not known) and links <= LINKS_SOME else "open"
     if framed:
-        return "bad" if n < LONG or links > LINKS_SOME or stops < STOP_LOW else "open"
+        return "bad" if n < LONG or links > LINKS_SOME or (known and share < STOP_LOW) else "open"
     if n < SHORT:
         return "bad" if links > LINKS_SOME else "open"
-    if stops >= STOP_HIGH and n > LONG:
+    if n > LONG and (share >= STOP_HIGH if known else links <= LINKS_SOME):
         return "good"
-    return "open" if stops >= STOP_LOW else "bad"
+    return "open" if share >= STOP_LOW or not known else "bad"
+
+
+def language_known(blocks: list[Block]) -> bool:
+    """Whether the longer blocks that aren't links hold stop words as one of the languages does; a page without any counts as known."""
+    counts = [stop_share(b) for b in blocks if not b.frame and weight(b.text) >= SHORT and b.linked <= LINKS_SOME * len(b.text)]
+    words = sum(n for _, n in counts)
+    return not counts or sum(k for k, _ in counts) >= STOP_LOW * max(1, words)
 
 
 def classify(blocks: list[Block]) -> None:
     """Sets label to good or bad."""
     framed = any(b.inside and not b.frame for b in blocks)
+    known = language_known(blocks)
     for b in blocks:
-        b.label = first_label(b, framed)
+        b.label = first_label(b, framed, known)
 
     def decided(order: list[Block]) -> list[str]:
         """The label of the nearest decided block before each in this order."""
@@ -289,7 +321,7 @@ def classify(blocks: list[Block]) -> None:
     before, after = decided(blocks), decided(blocks[::-1])[::-1]
     for b, one, two in zip(blocks, before, after):
         if b.label == "open":
-            b.label = one if one == two else "good" if b.inside or len(b.text) >= SHORT or b.heading else "bad"
+            b.label = one if one == two else "good" if b.inside or weight(b.text) >= SHORT or b.heading else "bad"
 
 
 def main_text(page: str | None) -> str:
@@ -300,17 +332,12 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of pages (all if None), text and n_chars."""
-    names = pages.columns if keep is None else keep
-    names = [c for c in names if c not in ("text", "n_chars")]
-    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("html").alias("h"))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = [main_text(h) for h in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
+    def make(pages_of: pa.Array) -> list[pa.Array]:
+        texts = [main_text(h) for h in pages_of.to_pylist()]
+        return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
-    schema = pages.select(*[F.col(f"`{c}`") for c in names]).schema.add("text", "string").add("n_chars", "long")
-    return rows.mapInArrow(batches, schema)
+    return with_batches(pages, pages.columns if keep is None else keep, [F.col("html")], "text string, n_chars long", make)
 
 
 def op7_main_text(spark, sf_dir: str) -> DataFrame:
