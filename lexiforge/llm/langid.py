@@ -4,13 +4,13 @@ N-grams of one to four characters (code points) of the lower-cased text are hash
 2**16 columns. The model holds a log probability for each column and language. Training
 reads at most `per_language` labelled texts of a language, equal texts counting once, those of
 least hash; the bound keeps the driver's and workers' part the same at every size:
-languages x 2**16 floats. Prediction reads whole texts: those of a batch become one
+languages x 2**16 floats, with at most LANGUAGES languages. Prediction reads whole texts: those of a batch become one
 sparse matrix of column counts, whose product with the log probabilities has their sums.
 
 Defined cases: text that is null or has no letter is 'und' with score 0; rows without
 lang don't train; without a labelled row every text is 'und'; ties go to the first
 language by code point; repeated rows repeat, and train as one; other columns are kept by
-`predict`, which replaces columns named lang_pred and score.
+`predict`, which replaces columns named lang_pred and score in any case.
 """
 
 from __future__ import annotations
@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import with_batches
+
 COLUMNS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 1500
+#: Languages that are learnt at most, those of most texts.
+LANGUAGES = 256
 #: The evidence of a text counts as that of so many n-grams at most, so that scores spread.
 TEMPER = 40.0
 #: Added to every count, so that no n-gram is impossible; small, so that a language learnt from little text isn't drowned.
@@ -81,7 +85,7 @@ def gram_rows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from rows(held)
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities of shape (COLUMNS, languages)) from text and lang."""
     usable = labelled.where("text is not null and lang is not null").select("text", "lang")
     keyed = usable.select("lang", "text", F.xxhash64("text").alias("key"))
@@ -89,7 +93,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
     draw = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 40))
     # A share of each language that holds more than enough texts, so that the order below sorts few at any size.
     # Broadcast: one row for each language, of which the model holds COLUMNS numbers anyway.
-    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("texts")).select(F.col("lang").alias("lang_of"), (F.lit(float(1 << 40)) * (1.4 * per_language + 200) / F.col("texts")).alias("below"))
+    # Junk labels can't fill the driver: the languages of most texts are learnt, ties by their name.
+    known = keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("texts")).orderBy(F.desc("texts"), "lang").limit(languages)
+    sizes = known.select(F.col("lang").alias("lang_of"), (F.lit(float(1 << 40)) * (1.4 * per_language + 200) / F.col("texts")).alias("below"))
     drawn = keyed.withColumn("draw", draw).join(F.broadcast(sizes), (F.col("lang") == F.col("lang_of")) & (F.col("draw") <= F.col("below")))
     once = drawn.groupBy("lang", "key", "draw").agg(F.first("text").alias("text"))
     spread = Window.partitionBy("lang").orderBy("draw", "key")
@@ -143,19 +149,14 @@ def classify(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tup
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all if None), lang_pred and score."""
+    """The columns `keep` of docs (all if None), lang_pred and score, which replace columns of their names in any case."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("t"))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logs = shared.value
-        for batch in it:
-            found, sure = classify(batch.column(len(names)).to_pylist(), langs, logs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        found, sure = classify(texts.to_pylist(), *shared.value)
+        return [pa.array(found, pa.string()), pa.array(sure, pa.float64())]
 
-    return rows.mapInArrow(batches, kept.schema.add("lang_pred", "string").add("score", "double"))
+    return with_batches(docs, docs.columns if keep is None else keep, [F.col("text")], "lang_pred string, score double", make)
 
 
 def held_out() -> Column:

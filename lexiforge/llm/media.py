@@ -9,7 +9,7 @@ the next band: code = first bin, second bin, distance in frames, at the first pe
 Defined cases: null text is empty and gives one block of blanks; long payloads are
 transformed in runs of frames, with the same result; repeated rows repeat; equal
 payloads give equal values; an empty table gives an empty result; other columns are kept,
-but for those named like an added one, which it replaces.
+but for those named like an added one in any case, which it replaces.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import with_batches
+
 UNIT = 192
 RATE = 8000
 FRAME, HOP = 512, 256
@@ -104,9 +105,6 @@ _SPARK = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string"
 def media_columns(docs: DataFrame, keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all if None) and the named media columns (all if None)."""
     wanted = list(COLUMNS) if columns is None else columns
-    names = [c for c in (docs.columns if keep is None else keep) if c not in wanted]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("t"))
 
     def values(text: str | None) -> dict:
         n, media, back, time, code = describe(text)
@@ -114,16 +112,14 @@ def media_columns(docs: DataFrame, keep: list[str] | None = None, columns: list[
         digest = hashlib.sha256(time.astype("<i4").tobytes() + code.astype("<i8").tobytes()).hexdigest()[:32]
         return out | {"feature": f"{len(code)}:{digest}", "media": media, "fp_time": time, "fp_code": code}
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            made = []
-            for text in batch.column(len(names)).to_pylist():
-                full = values(text)
-                made.append({c: full[c] for c in wanted})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([m[c] for m in made], COLUMNS[c]) for c in wanted]], names=[*names, *wanted])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        made = []
+        for text in texts.to_pylist():
+            full = values(text)
+            made.append({c: full[c] for c in wanted})
+        return [pa.array([m[c] for m in made], COLUMNS[c]) for c in wanted]
 
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"{c} {_SPARK[c]}" for c in wanted)])
-    return rows.mapInArrow(batches, schema)
+    return with_batches(docs, docs.columns if keep is None else keep, [F.col("text")], ", ".join(f"{c} {_SPARK[c]}" for c in wanted), make)
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:

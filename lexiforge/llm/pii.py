@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import packed, unpacked
+from lexiforge.llm.common import others, packed, unpacked
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind -> (pattern, score of a confirmed span), in the order of the result.
@@ -146,7 +146,7 @@ def _span(kind: str, rank: int, score: float):
 
 def find(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns `keep` of docs (all if None) and spans: structs (start, rank, kind, end, score) in order."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
+    names = others(docs.columns if keep is None else keep, ["spans"])
     return unpacked(_found(docs, threshold), names, {"spans": F.col("spans")})
 
 

@@ -474,12 +474,36 @@ def test_main_text_of_odd_markup():
     assert text(f"<article><p>{long} <span hidden>not <b>this</b></span>but this</p></article>") == f"{long} but this"
     assert text(f"<head><title>no</title></head><body><article><p>{long}</p><title>Named</title></article>") == f"{long}\nNamed"
     links = "<li><a href=x>Read more of what we have to say about the world</a></li>"
-    # Within an article too, what lies between blocks of links goes with them.
-    assert text(f"<article><p>{long}</p><ul>{links}<li>See also</li>{links}</ul><p>{long}</p></article>") == f"{long}\n{long}"
+    # Within an article lists of links and a paragraph that is one link stay.
+    read = "Read more of what we have to say about the world"
+    assert text(f"<article><p>{long}</p><ul>{links}<li>See also</li>{links}</ul><p>{long}</p></article>") == f"{long}\n{read}\nSee also\n{read}\n{long}"
+    assert text(f"<article><p>{long}</p><p><a href=x>The source of all this</a></p></article>") == f"{long}\nThe source of all this"
+    assert text(f"<article><p>{long}</p><h2 class='header'>Results</h2><div id='side-effects'><p>None.</p></div><div class='share'><p>A share of it.</p></div></article>") == f"{long}\nResults\nNone.\nA share of it."
+    # What readers wrote goes, as articles of their own too.
+    assert text(f"<article><p>{long}</p></article><article class='reply-1'><p>{long}</p></article><div class='comments'><article><p>{long}</p></article></div>") == long
+    assert text(f"<article><p>{long}</p><div class='notice'><p>{long}</p></div><div class='ad-box'><p>{long}</p></div></article>") == long
+    # Running text of other languages, without an article tag.
+    polish = "Rzeka płynie powoli przez dolinę, a ludzie siedzą wieczorem nad jej brzegiem i opowiadają sobie dawne historie o królach, rycerzach i zamkach. " * 2
+    chinese = "河水慢慢地流过山谷，人们晚上坐在岸边，互相讲述古老的故事，关于国王、骑士和城堡的传说一直流传到今天，孩子们听得入神，久久不愿离去，直到月亮升起。" * 2
+    for words in (polish.strip(), chinese):
+        assert text(f"<body><div><a href=1>Menu</a> <a href=2>Dom</a></div><div><p>{words}</p><p>{words}</p></div><div><a href=x>{words[:90]}</a></div></body>") == f"{words}\n{words}"
     assert text(f"<article><h1>Title</h1><p>{long}</p><p>One.</p></article>") == f"Title\n{long}\nOne."
     assert text(f"<title>a<article><p>{long}</p></article>") in (long, f"a\n{long}")
 
 
+def test_columns_that_differ_in_case_only(spark):
+    rows = spark.createDataFrame([(1, "Mail a@b.org", "<p>x", 5, 6, 7, 8, 9)], "doc_id long, text string, html string, Spans int, N_Chars int, Score int, N_Bytes int, `odd ``name` int")
+    for out, names in ((pii.find(rows), ["spans"]), (htmltext.extract(rows), ["text", "n_chars"]), (langid.predict(rows, (["en"], np.zeros((langid.COLUMNS, 1), np.float32))), ["lang_pred", "score"]), (media.media_columns(rows, columns=["n_bytes"]), ["n_bytes"])):
+        low = [c.lower() for c in out.columns]
+        assert len(set(low)) == len(low) and set(names) <= set(low) and "odd `name" in low
+        assert out.count() == 1 and len(out.collect()) == 1
+
+
+def test_only_the_largest_languages_are_learnt(spark):
+    rows = spark.createDataFrame([(f"text number {i} of many words", lang) for lang, n in (("en", 9), ("de", 5), ("x1", 1), ("x2", 1)) for i in range(n)], "text string, lang string")
+    assert langid.train(rows.withColumn("text", F.concat("lang", "text")), languages=3)[0] == ["de", "en", "x1"]
+
+
 @pytest.mark.parametrize("page", ["<a " * 350000, "<a b=\"" * 200000, "<a b='>" * 150000, "<form>" * 150000 + "x", "<title>" * 150000, "</p>" * 250000, "<p>" * 300000, "<b>" * 200000 + "</i>" * 100000, "<" * 1000000, "<!--" * 250000, "<a =\"x\" " * 100000 + "=\">\"", "<div><p>" * 100000 + "</b>" * 50000])
 def test_main_text_is_linear(page):
     import time
@@ -492,21 +516,27 @@ def test_main_text_is_linear(page):
 def plain_labels(blocks):
     """Both passes once more, each block on its own."""
     framed = any(b.inside and not b.frame for b in blocks)
+    size = lambda t: len(t) + 2 * sum("\u2e80" <= c <= "\ud7ff" or "\uf900" <= c <= "\ufaff" or "\uff00" <= c <= "\uffef" for c in t)
+    counted = lambda t: [w in htmltext.STOP_WORDS for w in re.findall(r"[^\W\d_]+", t.lower())]
+    telling = [x for b in blocks if not b.frame and size(b.text) >= 70 and b.linked <= 0.2 * len(b.text) for x in [counted(b.text)]]
+    known = not telling or sum(map(sum, telling)) >= 0.12 * max(1, sum(map(len, telling)))
     first = []
     for b in blocks:
-        words = re.findall(r"[^\W\d_]+", b.text.lower())
-        stops = sum(w in htmltext.STOP_WORDS for w in words) / max(1, len(words))
-        links, n = b.linked / len(b.text), len(b.text)
-        if b.frame or links > 0.5 and not (b.inside and b.heading):
+        words = counted(b.text)
+        stops = sum(words) / max(1, len(words))
+        links, n = b.linked / len(b.text), size(b.text)
+        if b.frame or links > 0.5 and not b.inside:
             first.append("bad")
         elif b.inside:
-            first.append("good" if n >= 70 and stops >= 0.12 and links <= 0.2 else "open")
+            first.append("good" if n >= 70 and (stops >= 0.12 or not known) and links <= 0.2 else "open")
         elif framed:
-            first.append("bad" if n < 200 or links > 0.2 or stops < 0.12 else "open")
+            first.append("bad" if n < 200 or links > 0.2 or known and stops < 0.12 else "open")
         elif n < 70:
             first.append("bad" if links > 0.2 else "open")
-        else:
+        elif known:
             first.append("good" if stops >= 0.3 and n > 200 else "open" if stops >= 0.12 else "bad")
+        else:
+            first.append("good" if links <= 0.2 and n > 200 else "open")
     out = []
     for i, b in enumerate(blocks):
         near = []
@@ -516,7 +546,7 @@ def plain_labels(blocks):
                 j += step
             beyond = not (0 <= j < len(blocks)) or blocks[j].inside != b.inside
             near.append(("good" if b.inside else "bad") if beyond else first[j])
-        split = "good" if b.inside or len(b.text) >= 70 or b.heading else "bad"
+        split = "good" if b.inside or size(b.text) >= 70 or b.heading else "bad"
         out.append(first[i] if first[i] != "open" else near[0] if near[0] == near[1] else split)
     return out
 
