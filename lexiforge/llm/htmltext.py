@@ -82,13 +82,22 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
 
 
+def weight(text: str) -> int:
+    """Length of a text, in which a character of the scripts without blanks counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
 class Block:
     """A run of text; `inside` is the number of the article it stands in, 0 for none."""
 
-    __slots__ = ("text", "linked", "inside", "frame", "heading", "label")
+    __slots__ = ("text", "linked", "inside", "frame", "heading", "label", "weight", "stops", "words")
 
     def __init__(self, text: str, linked: int, inside: int, frame: bool, heading: bool):
         self.text, self.linked, self.inside, self.frame, self.heading, self.label = text, linked, inside, frame, heading, ""
+        self.weight, self.stops, self.words = weight(text), 0, 0
+        if not frame and self.weight >= SHORT:  # of shorter ones length and links decide
+            words = _WORD.findall(text.lower())
+            self.stops, self.words = sum(w in STOP_WORDS for w in words), len(words)
 
 
 class _Open:
@@ -263,25 +272,13 @@ def blocks_of(page: str) -> list[Block]:
     return Reader(page).blocks()
 
 
-def weight(text: str) -> int:
-    """Length of a text, in which a character of the scripts without blanks counts as three."""
-    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
-
-
-def stop_share(block: Block) -> tuple[int, int]:
-    """(stop words, words) of a block."""
-    words = _WORD.findall(block.text.lower())
-    return sum(w in STOP_WORDS for w in words), len(words)
-
-
 def first_label(block: Block, framed: bool, known: bool) -> str:
     """good, bad or open, by the block alone; `framed`: the page has an article; `known`: it is written in a language of the stop words, else length and links decide."""
-    n, inside = weight(block.text), block.inside > 0
+    n, inside = block.weight, block.inside > 0
     links = block.linked / len(block.text)
     if block.frame or (links > LINKS_BAD and not inside):
         return "bad"
-    stops, words = stop_share(block)
-    share = stops / words if words else 0.0
+    share = block.stops / block.words if block.words else 0.0
     if inside:
         return "good" if n >= SHORT and (share >= STOP_LOW or not known) and links <= LINKS_SOME else "open"
     if framed:
@@ -295,9 +292,8 @@ def first_label(block: Block, framed: bool, known: bool) -> str:
 
 def language_known(blocks: list[Block]) -> bool:
     """Whether the longer blocks that aren't links hold stop words as one of the languages does; a page without any counts as known."""
-    counts = [stop_share(b) for b in blocks if not b.frame and weight(b.text) >= SHORT and b.linked <= LINKS_SOME * len(b.text)]
-    words = sum(n for _, n in counts)
-    return not counts or sum(k for k, _ in counts) >= STOP_LOW * max(1, words)
+    long = [b for b in blocks if not b.frame and b.weight >= SHORT and b.linked <= LINKS_SOME * len(b.text)]
+    return not long or sum(b.stops for b in long) >= STOP_LOW * max(1, sum(b.words for b in long))
 
 
 def classify(blocks: list[Block]) -> None:
@@ -321,7 +317,7 @@ def classify(blocks: list[Block]) -> None:
     before, after = decided(blocks), decided(blocks[::-1])[::-1]
     for b, one, two in zip(blocks, before, after):
         if b.label == "open":
-            b.label = one if one == two else "good" if b.inside or weight(b.text) >= SHORT or b.heading else "bad"
+            b.label = one if one == two else "good" if b.inside or b.weight >= SHORT or b.heading else "bad"
 
 
 def main_text(page: str | None) -> str:
