@@ -504,6 +504,21 @@ def test_only_the_largest_languages_are_learnt(spark):
     assert langid.train(rows.withColumn("text", F.concat("lang", "text")), languages=3)[0] == ["de", "en", "x1"]
 
 
+def test_recall_over_several_shards(spark):
+    rows = hnsw.valid_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    shards = hnsw.index(rows, 10, shard_rows=400)
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found = {}
+    for r in hnsw.search(shards, asked, 10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x = {r.vec_id: np.array(r.x) for r in rows.collect()}
+    hits = 0
+    for q, ids in found.items():
+        near = sorted((float(((v - x[q]) ** 2).sum()), i) for i, v in x.items() if i != q)[:10]
+        hits += len(ids & {i for _, i in near})
+    assert len(found) == 20 and hits >= 0.95 * 200
+
+
 @pytest.mark.parametrize("page", ["<a " * 350000, "<a b=\"" * 200000, "<a b='>" * 150000, "<form>" * 150000 + "x", "<title>" * 150000, "</p>" * 250000, "<p>" * 300000, "<b>" * 200000 + "</i>" * 100000, "<" * 1000000, "<!--" * 250000, "<a =\"x\" " * 100000 + "=\">\"", "<div><p>" * 100000 + "</b>" * 50000])
 def test_main_text_is_linear(page):
     import time
