@@ -12,23 +12,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions import charsets
+
 MEMBERS = "tar string, article string, member string, kind string, encoding string, text string"
 VECTORS = "word string, vec array<float>"
 
 
 def decode(data: bytes) -> tuple[str, str]:
-    """(text, name of the character set): a byte order mark, else UTF-8, else Windows-1252, else UTF-8 without what fails."""
+    """(text, name of the character set): a byte order mark, else UTF-8, else what scores best, Western sets as Windows-1252, else UTF-8 without what fails."""
     for mark, codec in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             try:
                 return data.decode(codec), codec
             except UnicodeDecodeError:
                 break
-    for codec in ("utf-8", "cp1252"):
-        try:
-            return data.decode(codec), codec
-        except UnicodeDecodeError:
-            continue
+    try:
+        return data.decode("utf-8"), "utf-8"
+    except UnicodeDecodeError:
+        text, name, _, note = charsets.decoded(data)
+    if note is None and name not in ("ISO-8859-1", "Windows-1252"):
+        return text, name
+    try:
+        return data.decode("cp1252"), "cp1252"
+    except UnicodeDecodeError:
+        pass
     return data.decode("utf-8", "ignore"), "unknown"
 
 
