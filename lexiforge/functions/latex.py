@@ -153,6 +153,13 @@ class _Reader:
             if kind == "eol":
                 self.line(top, kept)
                 continue
+            if kind in ("word", "number", "mark"):  # nearly all tokens
+                self.at += 1
+                if kept:
+                    piece = "" if kind == "mark" else m[0]
+                    self.put(piece if piece.isalnum() else _ACCENT.sub("", piece))
+                    self.formula = False
+                continue
             self.at += 1
             if kind == "dollar" or m[0] in ("\\[", "\\("):
                 self.math(m[0], kept)
@@ -172,8 +179,6 @@ class _Reader:
                 piece = self.command(m["command"], top, kept)
             elif kind == "input" and kept:
                 self.inputs.append(m["file"])
-            elif kind in ("word", "number"):
-                piece = _ACCENT.sub("", m[0])
             elif kind == "stop":
                 piece = "."
             if kept:
