@@ -197,6 +197,58 @@ def page_pairs(articles: DataFrame) -> DataFrame:
     return first.where(F.contains(F.lower("definition"), F.col("title"))).select("addr", "title", "definition")
 
 
+def site_style(url: Column) -> Column:
+    """The rules a page goes by, from its host: wiki, stacks, or null for any other."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.when(F.contains(host, F.lit("wikipedia")) | F.contains(host, F.lit("subwiki")), "wiki").when(F.contains(host, F.lit("stacks.math")), "stacks")
+
+
+def _classed(node: ET.Element, name: str) -> bool:
+    return name in (node.get("class") or "").split()
+
+
+def _site_pair(raw: str | None, style: str | None) -> tuple[str | None, str | None, str]:
+    """(title, paragraph, status) of one page."""
+    root, _ = parse_html(raw)
+    if root is None or style is None:
+        return None, None, "no style" if style is None else "empty"
+    nodes = list(root.iter())
+    if style == "wiki":
+        head = next((n for n in nodes if n.get("id") == "firstHeading"), None)
+        title = None if head is None else "".join(head.itertext()).replace("(mathematics)", "")
+        begins = lambda n: n.tag == "span" and "definition" in (n.get("id") or "").lower()
+    else:
+        head = next((n for n in nodes if _classed(n, "tex-section")), None)
+        title = None if head is None else ([t for t in head.itertext() if t] or [""])[-1]
+        begins = lambda n: _classed(n, "env-definition")
+    if title is None:
+        return None, None, "no title"
+    title = title.strip().lower()
+    at = next((i for i, n in enumerate(nodes) if begins(n)), None)
+    if at is None:
+        return title, None, "no definition"
+    paragraph = next((n for n in nodes[at + 1 :] if n.tag == "p"), None)
+    if paragraph is None:
+        return title, None, "no paragraph"
+    text = "".join(paragraph.itertext())
+    return title, text, "pair" if title in text.lower() else "no match"
+
+
+def site_pairs(pages: DataFrame) -> DataFrame:
+    """(addr, title, definition, status) of pages (addr, url, raw) by the rules of their sites: a title without its "(mathematics)", in lower case, and the first paragraph after the place that holds the definition.
+
+    status is pair where the paragraph holds the title, else what is missing; pages of other sites and empty ones have a row too, so that none is skipped in silence.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(a, *_site_pair(r, s)) for a, r, s in zip(batch["addr"], batch["raw"], batch["style"])]
+            yield pd.DataFrame(found, columns=["addr", "title", "definition", "status"]).astype(object)
+
+    rows = pages.select(F.col("addr").cast("string").alias("addr"), "raw", site_style(F.col("url")).alias("style"))
+    return rows.mapInPandas(each, "addr string, title string, definition string, status string")
+
+
 # look-ups in XML, by Spark's own path functions
 
 
