@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,8 +159,9 @@ def fit(rows: DataFrame, words: str, tags: str, classes: str | None = None, most
     made = F.pandas_udf(features, "array<array<int>>")
     both = drawn.select(F.explode(F.arrays_zip(made("w", "t", "c").alias("f"), F.col("t").alias("t"))).alias("x"))
     label = F.array_position(F.array(*map(F.lit, names)), F.col("x.t")) - 1
-    points = both.select(F.col("x.f").cast("array<string>").alias("f"), label.cast("double").alias("label"))
-    bag = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], inputCol="f", outputCol="features")
-    model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=rounds).fit(bag.transform(points).select("features", "label"))
+    # Vectors have no Arrow form: a function by rows, on the drawn sentences only.
+    sparse = F.udf(lambda f: Vectors.sparse(width, *map(list, np.unique(f, return_counts=True))), VectorUDT())
+    points = both.select(sparse("x.f").alias("features"), label.cast("double").alias("label"))
+    model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=rounds).fit(points)
     drawn.unpersist()
     return Chunker(names, model.coefficientMatrix.toArray().T.copy(), model.interceptVector.toArray(), stemmed)
