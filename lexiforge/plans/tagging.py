@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lexiforge.functions import pages as P
@@ -12,15 +13,24 @@ _before = set(QUERIES)
 _HEADS = ("the", "der", "die", "das", "la", "le", "les", "el")
 
 
+def _taught(sentences: pd.Series) -> pd.Series:
+    """Tags in one pass, for sentences may be very long."""
+    out = []
+    for words in sentences:
+        tags, left = [], 0
+        for w in words:
+            begins = not left and w.lower() in _HEADS
+            tags.append("B" if begins else "I" if left else "O")
+            left = 2 if begins else max(0, left - 1)
+        out.append(tags)
+    return pd.Series(out, dtype=object)
+
+
 def _sentences(spark, sf):
     """(doc_id, sent_no, words, tags): sentences of the documents; an article begins a chunk of itself and the two words after it."""
     docs = read(spark, sf, "documents").where("text is not null").withColumn("text", F.translate("text", "\n", " "))
     rows = ner.sentences(docs, "text", "doc_id").select("doc_id", "sent_no", F.filter(F.split("sentence", r"\s+"), lambda w: w != "").alias("words"))
-    # Marks are bytes while the fold runs: B, I, J for the word before the last of a chunk, O.
-    after = lambda t, w: F.when(t.endswith("B"), "I").when(t.endswith("I"), "J").when(F.lower(w).isin(*_HEADS), "B").otherwise("O")
-    marks = F.aggregate("words", F.lit(""), lambda t, w: F.concat(t, after(t, w)))
-    tags = F.transform(F.split(F.translate(marks, "J", "I"), ""), lambda t: t)
-    return rows.where(F.size("words") > 0).withColumn("tags", F.filter(tags, lambda t: t != ""))
+    return rows.where(F.size("words") > 0).withColumn("tags", F.pandas_udf(_taught, "array<string>")("words"))
 
 
 def _guessed(spark, sf):
