@@ -43,3 +43,25 @@ def test_columns(spark):
     assert got[6]["note"].startswith("tried utf-16") and got[5]["text"] is not None
     n = {r["encoding"]: r["n"] for r in charsets.encoding_counts(df, "data").collect()}
     assert n["ISO-8859-1"] == n["KOI8-R"] == n["ascii"] == n["UTF-16"] == 1 and sum(n.values()) == 5
+
+
+LONE = ["La é le de de. ", "una óí. óí. óí. ", "et de è è è è è et. ", "du. du. Ê Ê Ê du. ", "la ñ, el so s co ó. ", "CHUNGAU!! Ü.!! und Dieüauß ÖÜ.!! UND TEÄAU!! "]
+
+
+@pytest.mark.parametrize("text", LONE)
+def test_lone_accented_letters_are_western(text):
+    assert charsets.decoded(text.encode("latin1"))[:2] == (text, "ISO-8859-1"), charsets.ranked(text.encode("latin1"))[:4]
+
+
+def test_encoding_counts_of_odd_numbers(spark, tmp_path):
+    """Against the query's SQL, with ids that are null and negative."""
+    import duckdb
+
+    from lexiforge.plans import models
+
+    rows = [(n, t) for n, t in enumerate(LONE * 3)] + [(None, "é а"), (-1, "é б"), (-2, "plain"), (5, ""), (7, None), (2, "ж")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in models.encoding_counts(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(db.execute(models.ORACLES["encoding_counts"]).fetchall())
