@@ -88,3 +88,11 @@ def test_columns(spark):
 def test_long_text_is_linear():
     row = latex._Reader("\\a{ " * 200_000 + "\n\nend").row()
     assert row[0] == "end" and row[-1] == "recovered"
+
+
+def test_paragraphs_read_a_source_once(spark):
+    """The condition on the text once read every source a second time."""
+    rows = spark.createDataFrame([(n, f"One {n}.\n\nTwo.") for n in range(600)] + [(600, ""), (601, None)], "id int, text string")
+    out = latex.latex_paragraphs(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert out.count() == 1200 and {r["id"] for r in out.collect()} == set(range(600))
