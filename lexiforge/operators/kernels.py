@@ -12,6 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows whose features a task holds at once.
+PART = 1024
+
 
 def fourier(vec: Column, length: int, gamma: float, width: int = 512, seed: int = 7) -> Column:
     """`width` features of vectors of `length` numbers whose products approach exp(-gamma * squared distance); null for vectors that are null, of other lengths or not finite.
@@ -22,7 +25,7 @@ def fourier(vec: Column, length: int, gamma: float, width: int = 512, seed: int
     drawn, phase = rng.normal(0, math.sqrt(2 * gamma), (length, width)), rng.uniform(0, 2 * math.pi, width)
 
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in batches:
+        for some in (batch.iloc[begin : begin + PART] for batch in batches for begin in range(0, len(batch), PART)):
             out = np.full(len(some), None, dtype=object)
             fit = [i for i, v in enumerate(some) if v is not None and len(v) == length and np.isfinite(np.asarray(v, dtype=float)).all()]
             if fit:
@@ -42,7 +45,9 @@ class KernelClassifier:
         self.length, self.gamma, self.cost, self.width, self.seed, self.model = length, gamma, cost, width, seed, None
 
     def _with(self, rows: DataFrame, vec: str) -> DataFrame:
-        made = rows.withColumn("_f", fourier(F.col(vec), self.length, self.gamma, self.width, self.seed))
+        # Exploded as one row, so that the condition doesn't work the features out again.
+        features = fourier(F.col(vec), self.length, self.gamma, self.width, self.seed)
+        made = rows.select("*", F.explode(F.array(features)).alias("_f"))
         return made.where("_f is not null").withColumn("_f", array_to_vector("_f"))
 
     def fit(self, rows: DataFrame, vec: str, label: str) -> KernelClassifier:

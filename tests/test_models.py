@@ -113,3 +113,11 @@ def test_votes(spark):
         near = sorted((math.dist(v, w), i, t) for i, w, t in rows[:200] if i % 10)[:4]
         ones = sum(t for _, _, t in near)
         assert got[q] == ((1, ones) if ones > 2 else (0, 4 - ones))
+
+
+def test_kernel_features_are_made_once(spark):
+    """The condition on the features once made them a second time, in a second Python process of each task."""
+    df = spark.createDataFrame(ring(60), "id int, v array<double>, label int")
+    fitted = kernels.KernelClassifier(2, gamma=1.0, width=20)
+    assert fitted._with(df, "v")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert fitted._with(df, "v").count() == 60
