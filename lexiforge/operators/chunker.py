@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REACH, OUTSIDE, MOST_TAGS = 3, "O", 100
+#: Sentences that a task tags at once.
+PART = 512
 #: The marker words of formulas.
 FORMULAS = ("_inline_math_", "_display_math_")
 _FLAGS = 6  # of one word: ASCII, dash, dot, all capitals, capital first, formula
@@ -117,9 +119,9 @@ class Chunker:
         width = len(weights)
         past = weights[_history(len(names), width)]
 
-        def tagged(sentences: pd.Series, *marks: pd.Series) -> pd.Series:
+        def tagged(sentences: pd.Series, marks: pd.Series | None) -> pd.Series:
             given = [[] if s is None else list(s) for s in sentences]
-            places, starts = _own(given, _classes(given, list(marks[0]) if marks else None), width, stemmed)
+            places, starts = _own(given, _classes(given, None if marks is None else list(marks)), width, stemmed)
             sizes = np.array([len(s) for s in given], dtype=np.int64)
             own = np.tile(bias, (int(sizes.sum()), 1))
             for p in places:
@@ -127,7 +129,16 @@ class Chunker:
             found = names[decode(own, starts, sizes, past)] if len(own) else np.array([], dtype=object)
             return pd.Series([None if s is None else list(found[a : a + n]) for s, a, n in zip(sentences, starts, sizes)], dtype=object)
 
-        return F.pandas_udf(tagged, "array<string>")(*[c for c in (words, classes) if c is not None])
+        with_classes = classes is not None
+
+        def parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                for begin in range(0, len(columns[0]), PART):
+                    some = [c.iloc[begin : begin + PART] for c in columns]
+                    yield tagged(*some) if with_classes else tagged(some[0], None)
+
+        parts.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(parts, "array<string>")(words, classes if with_classes else F.lit(None).cast("string"))
 
 
 def fit(rows: DataFrame, words: str, tags: str, classes: str | None = None, most: int = 20_000, width: int = 1 << 16, penalty: float = 1e-5, rounds: int = 50, stemmed: Callable[[str], str] = stem) -> Chunker:
