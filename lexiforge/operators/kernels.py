@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators import vectors
+
 #: Rows whose features a task holds at once.
 PART = 1024
 
@@ -63,19 +65,24 @@ class KernelClassifier:
         return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_p").cast("int").alias("prediction"), F.array_max(vector_to_array("_q")).alias("probability"))
 
 
-def squared_distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def neighbour_votes(rows: DataFrame, key: str, vec: str, label: str, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, prediction, votes): the commonest label of the k rows nearest to each query by Euclidean distance.
 
     `queries` (query, q) is a stated set that meets the rows in blocks; each task keeps k rows of
     a query. Equal distances go to the least key, equal votes to the least label. Rows without
-    vector or label, and vectors of another length, don't vote.
+    vector or label, and vectors of another length, don't vote. Keys and labels are whole numbers.
     """
-    pairs = rows.where(F.col(label).isNotNull()).crossJoin(queries).where(F.size(vec) == F.size("q"))
-    near = pairs.select("query", key, label, squared_distance(vec, "q").alias("d")).where("d is not null")
+
+    def rough(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Squared distances in units of the largest squared norm, so that one slack serves all."""
+        sizes = (q * q).sum(axis=1), (v * v).sum(axis=1)
+        return (sizes[0][:, None] + sizes[1][None, :] - 2 * (q @ v.T)) / max(sizes[0].max(initial=0.0), sizes[1].max(initial=0.0), 1e-300)
+
+    def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return vectors.in_order((v - q) * (v - q))
+
+    near = vectors.nearest(rows.where(F.col(label).isNotNull()), key, vec, queries, k, rough, exact, 1e-9, label)
+    near = near.select(F.col("query").cast(queries.schema["query"].dataType).alias("query"), key, F.col("other").cast(rows.schema[label].dataType).alias(label), F.col("cost").alias("d"))
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", key))).where(F.col("rank") <= k)
     votes = best.groupBy("query", F.col(label).alias("prediction")).agg(F.count("*").alias("votes"))
     top = F.max_by(F.struct("prediction", "votes"), F.struct("votes", -F.col("prediction")))

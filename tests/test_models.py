@@ -121,3 +121,31 @@ def test_kernel_features_are_made_once(spark):
     fitted = kernels.KernelClassifier(2, gamma=1.0, width=20)
     assert fitted._with(df, "v")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert fitted._with(df, "v").count() == 60
+
+
+def test_neighbours_meet_in_blocks(spark, monkeypatch):
+    """Blocks smaller than the rows, ties of copies, vectors of two lengths; no row of all pairs is made."""
+    from lexiforge.operators import vectors
+
+    rng = random.Random(5)
+    vecs = [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(250)]
+    rows = [(i, vecs[i % 250], i % 3) for i in range(300)] + [(1000 + i, [rng.uniform(-1, 1), 1.0], 1) for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, label int").repartition(3, "id")
+    asked = df.where("id % 10 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    monkeypatch.setattr(vectors, "ROWS", 40)
+    monkeypatch.setattr(vectors, "ASKED", 7)
+    out = vectors.cosine_neighbours(df, "id", "v", asked, 6, digits=7)
+    assert "Cartesian" not in out._jdf.queryExecution().optimizedPlan().toString() and out.schema["id"].dataType == df.schema["id"].dataType
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"], r["score"]))
+    votes = {r["query"]: (r["prediction"], r["votes"]) for r in kernels.neighbour_votes(df, "id", "v", "label", asked, 6).collect()}
+    for q, v, _ in rows:
+        if q % 10:
+            continue
+        same = [(i, w, t) for i, w, t in rows if len(w) == len(v)]
+        want = sorted((-round(sum(a * b for a, b in zip(v, w)) / math.hypot(*v) / math.hypot(*w), 7), i) for i, w, _ in same)[:6]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
+        tally = [t for _, _, t in sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i, t) for i, w, t in same)[:6]]
+        best = min(set(tally), key=lambda t: (-tally.count(t), t))
+        assert votes[q] == (best, tally.count(best))
