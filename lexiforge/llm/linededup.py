@@ -80,7 +80,7 @@ def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(line_id, line, n, first): each line, how often it occurs and where first; stored by line_id, so that later steps don't move it."""
     place = F.struct("doc_id", "doc_key", "line_no")
     found = _located(docs).groupBy("line_id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min(place).alias("first"))
-    return scratch.save(found, "lines", by="line_id")
+    return scratch.save(found, "lines", by="line_id", halves="line_id")
 
 
 def _signed(lines: DataFrame, drawn: bool) -> DataFrame:
@@ -217,7 +217,7 @@ def _split(led: DataFrame, roots: DataFrame) -> DataFrame:
 def line_roots(lines: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(node, root) of the line ids that are linked to another one."""
     signed = signatures(lines, scratch)
-    led = scratch.save(_buckets(signed), "led")
+    led = scratch.save(_buckets(signed), "led", halves="key")
     ids = led.select("line_id").union(led.select("leader")).distinct()
     # The lines that share a bucket with another, and the sizes of their shingle sets.
     texts = lines.select("line_id", "line").join(ids.hint("shuffle_hash"), "line_id", "left_semi")

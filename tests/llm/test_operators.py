@@ -751,3 +751,18 @@ def test_components(spark):
         root[b] = a
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "src long, dst long"), common.Scratch(spark, "t")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_a_save_leaves_no_shuffle_files(spark):
+    """What a save shuffled goes when it has ended; halves hold every row once."""
+    from lexiforge.llm.common import Scratch
+
+    scratch = Scratch(spark, "halves")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    rows = spark.range(-500, 500).selectExpr("id % 300 AS k", "id AS v").groupBy("k").agg(F.sum("v").alias("v"))
+    for made in (scratch.save(rows, "a", by="k", halves="k"), scratch.save(rows, "b", halves="k"), scratch.save(rows, "c", by="k"), scratch.save(rows, "d")):
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect()))
+    held = tracker.shuffleStatuses().size()
+    scratch.save(rows, "e", by="k", halves="k")
+    assert tracker.shuffleStatuses().size() <= held
+    scratch.drop()
