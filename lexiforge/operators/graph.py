@@ -87,6 +87,8 @@ def closure(edges: DataFrame) -> DataFrame:
 
 #: Once no more edges are left, one task ends the search; more go another round.
 FINISH = 100_000
+#: Paths of two edges, for each edge, up to which cycles of three are looked for.
+WEDGES = 20
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -131,8 +133,8 @@ def _coloured(edges: DataFrame, rounds: Rounds) -> DataFrame:
     state = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.xxhash64("node").alias("f"), F.xxhash64("node").alias("b"))
     total = None
     while True:
-        on = edges.join(state.select(F.col("node").alias("src"), "f"), "src").select(F.col("dst").alias("node"), "f", F.lit(None).cast("long").alias("b"))
-        back = edges.join(state.select(F.col("node").alias("dst"), "b"), "dst").select(F.col("src").alias("node"), F.lit(None).cast("long").alias("f"), "b")
+        on = edges.join(state.select(F.col("node").alias("src"), "f").hint("merge"), "src").select(F.col("dst").alias("node"), "f", F.lit(None).cast("long").alias("b"))
+        back = edges.join(state.select(F.col("node").alias("dst"), "b").hint("merge"), "dst").select(F.col("src").alias("node"), F.lit(None).cast("long").alias("f"), "b")
         state = rounds.save(state.union(on).union(back).groupBy("node").agg(F.max("f").alias("f"), F.max("b").alias("b")))
         # Colours only grow, so their sum stands still when all do.
         before, total = total, state.agg(F.sum(F.col("f").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
@@ -140,37 +142,105 @@ def _coloured(edges: DataFrame, rounds: Rounds) -> DataFrame:
             return state
 
 
+def _short_cycles(edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, colour) of the nodes on cycles of two or three edges, cycles that share a node taken together; colour is a node of them.
+
+    Paths of two edges are made only in graphs where they are no more than WEDGES for each edge.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).agg(F.sum(F.col("o") * F.col("i")), F.sum("o")).first()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    links = edges.join(back.hint("merge"), ["src", "dst"], "left_semi")
+    if counts[0] <= WEDGES * counts[1]:
+        paths = edges.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(edges.select(F.col("src").alias("m"), F.col("dst").alias("b")).hint("merge"), "m")
+        closed = paths.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("a")).hint("merge"), ["a", "b"], "left_semi")
+        links = links.union(closed.select(F.col("a").alias("src"), F.col("m").alias("dst")))
+    return _linked(rounds.save(links.distinct()), rounds)
+
+
+def _linked(links: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, colour): the least node that links (src, dst) without direction lead to, by large and small stars, whose rounds are few on long chains too."""
+
+    def downward(df: DataFrame) -> DataFrame:
+        return df.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
+
+    now, before = rounds.save(downward(links)), None
+    while before != (before := tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())):
+        both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        large = downward(both.where("dst > src").join(least.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
+        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        moved = large.join(least.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        now = rounds.save(downward(moved.union(least.select("src", F.col("m").alias("dst")))))
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("colour")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("colour"))).distinct()
+
+
+def _renamed(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges between the colours of (node, colour), which a node without one is itself; those within a colour go."""
+    for end in ("src", "dst"):
+        edges = edges.join(of.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_c")).hint("merge"), end, "left").withColumn(end, F.coalesce(f"{end}_c", end))
+    return edges.select("src", "dst").where("src <> dst").distinct()
+
+
 def strong_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, component): nodes that reach one another share a component, the greatest of them; node and component are longs.
 
-    By trimming and forward-backward colouring: nodes at the ends, on no cycle, go; the others take
+    Nodes at the ends, on no cycle, go. Cycles of two and three edges become one node each, as long as that
+    takes away a tenth of the edges. What is then left goes by forward-backward colouring: nodes take
     the greatest hash of what reaches them and of what they reach. Where the two are one, that
     node and all of its colour are a component. Of the rest, ends of an edge with unlike colours
     share no component: such edges go, and what is left goes round again. The work of a step is a join on
-    the edges left; nothing holds all pairs that are connected. At most `finish` edges left are
-    ended by one depth-first walk, with the same components.
+    the edges left, dealt by node and not sent to the driver to be broadcast; nothing holds all pairs that are
+    connected. At most `finish` edges left are ended by one depth-first walk, with the same components.
     """
     rounds = Rounds(edges.sparkSession, "components")
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     left = rounds.save(edges.where("src <> dst").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    found = None
-    while count := left.count():
+    found, drawn, count = None, [], left.count()
+
+    def trimmed(left: DataFrame, count: int) -> tuple[DataFrame, int]:
+        before = None
+        while count > finish and (before is None or count < 0.9 * before):
+            left = rounds.save(_trimmed(left))
+            before, count = count, left.count()
+        return left, count
+
+    shrinks = True
+    while count:
+        left, count = trimmed(left, count)
+        if shrinks and count > finish:
+            drawn.append(rounds.save(_short_cycles(left, rounds)))
+            left = rounds.save(_renamed(left, drawn[-1]))
+            before, count = count, left.count()
+            shrinks = count < 0.9 * before
+            continue
         if count <= finish:
             part = rounds.save(left.groupBy().applyInPandas(_components_of, "node long, colour long"))
             found = part if found is None else found.union(part)
             break
-        left = rounds.save(_trimmed(left))
         colours = _coloured(left, rounds)
         part = rounds.save(colours.where("f = b").select("node", F.col("f").alias("colour")))
         found = part if found is None else found.union(part)
         rest = colours.where("f <> b")
-        left = left.join(rest.select(F.col("node").alias("src"), "f", "b"), "src").join(rest.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2")), "dst")
+        left = left.join(rest.select(F.col("node").alias("src"), "f", "b").hint("merge"), "src").join(rest.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2")).hint("merge"), "dst")
         left = rounds.save(left.where("f = f2 and b = b2").select("src", "dst"))
-    if found is None:
+        count = left.count()
+    if found is None and not drawn:
         return nodes.select("node", F.col("node").alias("component"))
-    named = found.join(found.groupBy("colour").agg(F.max("node").alias("component")), "colour").select("node", "component")
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    # A node goes by the name of the short cycles it lies on, that by the next ones', and by the walk's or the colours' in the end.
+    named = nodes.select("node", F.col("node").alias("name"))
+    for step in [*drawn, *([] if found is None else [_first_names(found)])]:
+        named = named.join(step.select(F.col("node").alias("name"), "colour").hint("merge"), "name", "left").select("node", F.coalesce("colour", "name").alias("name"))
+    named = rounds.save(named)
+    most = named.groupBy("name").agg(F.max("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return named.join(most.hint("merge"), "name", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _first_names(found: DataFrame) -> DataFrame:
+    """(node, colour) with one of its nodes as each colour, for hashes could meet the numbers of other nodes."""
+    least = found.groupBy("colour").agg(F.min("node").alias("first"))
+    return found.join(least.hint("merge"), "colour").select("node", F.col("first").alias("colour"))
 
 
 def acyclic(edges: DataFrame) -> DataFrame:
@@ -197,13 +267,48 @@ def levels(edges: DataFrame) -> DataFrame:
             return nodes.select("node", "level")
 
 
+#: Members of a component that meet a pair in one task, and parts that the pairs of one component are dealt to.
+PART, DEALT = 64, 16
+
+
+def _members(pairs: DataFrame, end: str, of: DataFrame) -> DataFrame:
+    """pairs with the components in column `end` each made the nodes of it; `of` (node, component).
+
+    Both the nodes and the pairs of a component of many nodes are dealt to several tasks.
+    """
+    parts = of.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"), F.when(F.count("*") > 1, DEALT).otherwise(1).alias("dealt"))
+    sized = of.join(parts.hint("merge"), "component").select(F.col("component").alias(end), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)).alias("lot"), "node")
+    asked = pairs.join(parts.withColumnRenamed("component", end), end).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asked = asked.withColumn("lot", F.pmod(F.xxhash64(*pairs.columns), F.col("dealt")).cast("int")).drop("parts", "dealt")
+    return asked.join(sized, [end, "part", "lot"]).drop("part", "lot", end).withColumnRenamed("node", end)
+
+
+def reached(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(src, dst): all unlike pairs with a path from a node of `of` (node), which are whole numbers.
+
+    Paths are followed between strong components, whose nodes all reach the same; only the result has
+    a row for each pair of nodes.
+    """
+    rounds = Rounds(edges.sparkSession, "reached")
+    kind = edges.schema["src"].dataType
+    edges = rounds.save(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    known = rounds.save(strong_components(edges))
+    asked = rounds.save(known.join(of.select(F.col("node").cast("long").alias("node")).distinct(), "node", "left_semi").select("node", "component"))
+    starts = asked.select(F.col("component").alias("node")).distinct()
+    between = _renamed(edges, known.select("node", F.col("component").alias("colour")))
+    far = distances(between, sources=starts).select("src", "dst").union(starts.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    # The end with more than one node for most pairs comes last; either may be first.
+    pairs = _members(_members(rounds.save(far), "src", asked), "dst", known).where("src <> dst")
+    return pairs.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
+
+
 def ancestors(edges: DataFrame, of: DataFrame) -> DataFrame:
     """(node, ancestor): all nodes with a path to a node of `of` (node); `descendants` of them along the reversed edges."""
-    return distances(reversed_edges(edges), sources=of).select(F.col("src").alias("node"), F.col("dst").alias("ancestor"))
+    return reached(reversed_edges(edges), of).select(F.col("src").alias("node"), F.col("dst").alias("ancestor"))
 
 
 def descendants(edges: DataFrame, of: DataFrame) -> DataFrame:
-    return distances(edges, sources=of).select(F.col("src").alias("node"), F.col("dst").alias("descendant"))
+    return reached(edges, of).select(F.col("src").alias("node"), F.col("dst").alias("descendant"))
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

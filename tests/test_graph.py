@@ -50,6 +50,25 @@ def test_acyclic_and_descendants(spark):
     assert {tuple(r) for r in graph.ancestors(df, of).collect()} == {(b, a) for a, b in far if b in (1, 2, 3) and a != b}
 
 
+@pytest.mark.parametrize("wedges", [0, 20])
+def test_many_components(spark, monkeypatch, wedges):
+    """Triangles that hang together, cycles of five, a component of more nodes than a part: by short cycles or colours alone, without a table sent to the driver."""
+    monkeypatch.setattr(graph, "WEDGES", wedges)
+    monkeypatch.setattr(graph, "PART", 4)
+    edges = [(k, k // 3) for k in range(1, 60)] + [(k // 9, k) for k in range(10, 60, 5)] + [(k, k + 1) for k in range(100, 104)] + [(104, 100), (100, 5), (9, 200)]
+    far = reach(edges)
+    nodes = {x for e in edges for x in e}
+    want = {n: max([n, *(m for m in nodes if (n, m) in far and (m, n) in far)]) for n in nodes}
+    assert len(set(want.values())) > 5 and max(list(want.values()).count(c) for c in set(want.values())) > 8
+    df = frame(spark, edges)
+    made = graph.strong_components(df, 0)
+    assert {r.node: r.component for r in made.collect()} == want
+    assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+    of = spark.createDataFrame([(n,) for n in range(0, 60, 4)], "node long")
+    assert sorted(tuple(r) for r in graph.descendants(df, of).collect()) == sorted(p for p in far if p[0] < 60 and p[0] % 4 == 0 and p[0] != p[1])
+    assert sorted(tuple(r) for r in graph.ancestors(df, of).collect()) == sorted((b, a) for a, b in far if b < 60 and b % 4 == 0 and a != b)
+
+
 def test_distances_go_as_far_as_paths(spark):
     edges = [(i, i + 1) for i in range(9)] + [(9, 0)]
     want = {p: d for p, d in reach(edges).items() if p[0] != p[1]}
