@@ -16,7 +16,7 @@ SHARE, LEAST = 0.99, 0.3
 
 def words(text: Column) -> Column:
     """Runs of anything but white space."""
-    return F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[ \t\n\x0b\f\r]++"), "")
 
 
 def _bare(word: Column) -> Column:
@@ -30,8 +30,10 @@ def _pointed(word: Column) -> Column:
 
 def abbreviations(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n, n_point, score): the words of all documents that are abbreviations; counts are partial sums on every executor."""
-    used = docs.select(F.explode(words(F.col(text))).alias("w")).select(_bare(F.col("w")).alias("word"), _pointed(F.col("w")).cast("long").alias("p"))
-    per = used.groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("n_point"))
+    # Words are counted as they stand first: patterns then meet each word once, not each of its uses.
+    used = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    used = used.select(_bare(F.col("w")).alias("word"), "c", F.when(_pointed(F.col("w")), F.col("c")).otherwise(0).alias("p"))
+    per = used.groupBy("word").agg(F.sum("c").alias("n"), F.sum("p").alias("n_point"))
     total = per.agg(F.sum("n").alias("all_n"), F.sum("n_point").alias("all_point"))
     rows = per.where(F.col("word").rlike(r"[^0-9.]") & (F.col("n_point") > 0)).crossJoin(F.broadcast(total))  # one row
     p, a, k = F.col("all_point") / F.col("all_n"), F.col("n").cast("double"), F.col("n_point").cast("double")
@@ -42,21 +44,34 @@ def abbreviations(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("word", "n", "n_point", score.alias("score")).where(F.col("score") >= LEAST)
 
 
-def sentences(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sentence, n_words, text) of documents, whose keys are their own: a word ends one with !, ? or ..., or with a point if it is no abbreviation of `known` (word), no single letter and no number before a small letter.
+def sentence_ends(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sentence, start, n_words) of documents, whose keys are their own: a word ends one with !, ? or ..., or with a point if it is no abbreviation of `known` (word), no single letter and no number before a small letter.
 
-    Words of one document meet in one window, so it is bounded by the longest one.
+    Only words with such a mark, and the last of each document, leave it and meet the abbreviations; the places of
+    one document are gathered in a row.
     """
-    placed = docs.select(key, F.posexplode(words(F.col(text))).alias("at", "w"))
-    held = placed.join(known.select(F.col("word").alias("bare"), F.lit(True).alias("short")), _bare(F.col("w")) == F.col("bare"), "left")
-    own = Window.partitionBy(key).orderBy("at")
-    after = F.lead("w").over(own)
-    small = F.coalesce(after.rlike(r"^\p{Ll}"), F.lit(False))
-    point = _pointed(F.col("w")) & F.col("short").isNull() & ~F.col("w").rlike(r"^\p{L}\.$") & ~(F.col("w").rlike(r"^[0-9]+\.$") & small)
-    ends = F.col("w").rlike(r"[!?…][\"')\]]*$") | point
-    marked = held.select(key, "at", "w", ends.alias("ends")).withColumn("sentence", F.coalesce(F.sum(F.col("ends").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gathered = marked.groupBy(key, "sentence").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("ws"))
-    return gathered.select(key, F.col("sentence").cast("int").alias("sentence"), F.size("ws").alias("n_words"), F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("text"))
+    # Exploded as one row, so that no condition cuts the text again.
+    held = docs.select(key, F.explode(F.array(words(F.col(text)))).alias("ws")).where("size(ws) > 0")
+    both = F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("after"))
+    placed = held.select(key, (F.size("ws") - 1).alias("last"), F.posexplode(both).alias("at", "x")).select(key, "last", "at", "x.w", "x.after")
+    marked = F.col("w").rlike(r"[!?…][\"')\]]*$")
+    placed = placed.select("*", marked.alias("marked"), _pointed(F.col("w")).alias("pointed")).where("marked or pointed or at = last")
+    found = placed.select(key, "last", "at", "w", "after", "marked", "pointed", F.when(F.col("pointed") & ~F.col("marked"), _bare(F.col("w"))).alias("bare_w"))
+    met = found.join(known.select(F.col("word").alias("bare"), F.lit(True).alias("short")), F.col("bare_w") == F.col("bare"), "left")
+    small = F.coalesce(F.col("after").rlike(r"^\p{Ll}"), F.lit(False))
+    point = F.col("pointed") & F.col("short").isNull() & ~F.col("w").rlike(r"^\p{L}\.$") & ~(F.col("w").rlike(r"^[0-9]+\.$") & small)
+    ends = met.where(F.col("marked") | point | (F.col("at") == F.col("last"))).groupBy(key).agg(F.array_sort(F.collect_set("at")).alias("ends"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("ends", lambda e: e + 1))
+    each = ends.select(key, F.posexplode(F.arrays_zip(F.col("ends").alias("end"), F.slice(starts, F.lit(1), F.size("ends")).alias("start"))).alias("sentence", "x"))
+    return each.select(key, "sentence", F.col("x.start").alias("start"), (F.col("x.end") - F.col("x.start") + 1).alias("n_words"))
+
+
+def sentences(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sentence, n_words, text): the sentences of `sentence_ends` with their words, put together where the document lies."""
+    ends = sentence_ends(docs, known, key, text).groupBy(F.col(key).alias("_of")).agg(F.collect_list(F.struct("sentence", "start", "n_words")).alias("found"))
+    held = docs.select(key, words(F.col(text)).alias("ws")).join(ends, F.col(key).eqNullSafe(F.col("_of")))
+    each = held.select(key, "ws", F.explode("found").alias("s"))
+    return each.select(key, "s.sentence", "s.n_words", F.array_join(F.slice("ws", F.col("s.start") + 1, F.col("s.n_words")), " ").alias("text"))
 
 
 def tokens(sentence: Column) -> Column:

@@ -173,7 +173,7 @@ SELECT doc_id, sentence::INTEGER AS sentence, count(*)::INTEGER AS n_words FROM
 def sentence_split(spark, sf):
     """The sentences of all documents, abbreviations learnt from them first."""
     docs = read(spark, sf, "documents")
-    return S.sentences(docs, S.abbreviations(docs)).select("doc_id", "sentence", "n_words")
+    return S.sentence_ends(docs, S.abbreviations(docs)).select("doc_id", "sentence", "n_words")
 
 
 @query("SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: NOT regexp_matches(x, '[\\p{L}\\p{N}]'))) AS marks FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[.''’-][\\p{L}\\p{N}]+)*|\\.{3}|[^\\s\\p{L}\\p{N}]') AS t FROM documents WHERE text IS NOT NULL)")

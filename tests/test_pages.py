@@ -137,3 +137,28 @@ def test_queries_of_pages(spark, sf):
     for addr, html in want.items():
         bare = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", html)
         assert sum(r.addr == addr and r.text is not None for r in got) == len(re.findall(r"<p[\s>]", bare))
+
+
+def test_sentences_move_marked_words_only(spark):
+    """Words without a mark once were dealt by document twice; only those that may end a sentence leave it now."""
+    from pyspark.sql import functions as F
+
+    from lexiforge.functions import sentences
+
+    rows = [(1, "One two. Three e.g. four! five"), (2, None), (3, ""), (4, " \n "), (5, "7. eight A. Bee. 9. Cee?"), (6, "so e.g."), (None, "Up. Down")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("e.g",)], "word string")
+    ends = sentences.sentence_ends(docs, known)
+    assert "Window" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((r.doc_id or 0, r.sentence, r.start, r.n_words) for r in ends.collect()))
+    assert got == [(0, 0, 0, 1), (0, 1, 1, 1), (1, 0, 0, 2), (1, 1, 2, 3), (1, 2, 5, 1), (5, 0, 0, 4), (5, 1, 4, 1), (5, 2, 5, 1), (6, 0, 0, 2)]
+    texts = {(r.doc_id or 0, r.sentence): r.text for r in sentences.sentences(docs, known).collect()}
+    assert texts[1, 1] == "Three e.g. four!" and texts[5, 0] == "7. eight A. Bee." and texts[0, 1] == "Down" and len(texts) == 9
+
+
+def test_cooccurrence_calls_no_function(spark):
+    from lexiforge.operators import sequences
+
+    df = spark.createDataFrame([(1, ["a", "b", "c", "a"]), (2, ["a", "b"]), (3, ["x"]), (4, []), (5, None)], "id int, t array<string>")
+    out = sequences.cooccurrence(df, "id", "t", 2)
+    assert {(r.a, r.b): r.n for r in out.collect()} == {("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("a", "c"): 1, ("b", "a"): 1}
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
