@@ -142,5 +142,7 @@ def merge_subtokens(pieces: list[str], labels: list[str], special: tuple = ("[CL
 
 def cooccurrence(rows: DataFrame, doc: str, tokens: str, window: int) -> DataFrame:
     """(a, b, n) for words at most `window` places apart, the earlier first."""
-    near = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda d: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - d, F.lit(1))), lambda i: i + d <= F.size(tokens)), lambda i: F.struct(F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + d).alias("b")))))
-    return rows.select(F.explode(near).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    # Lists laid beside themselves, in generated code, not by a function called for each place.
+    beside = [F.arrays_zip(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - d, F.lit(0))).alias("a"), F.slice(tokens, F.lit(d + 1), F.greatest(F.size(tokens) - d, F.lit(0))).alias("b")) for d in range(1, window + 1)]
+    held = rows.select(F.explode(F.array(tokens)).alias(tokens))
+    return held.select(F.explode(F.concat(*beside)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
