@@ -149,3 +149,24 @@ def test_neighbours_meet_in_blocks(spark, monkeypatch):
         tally = [t for _, _, t in sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i, t) for i, w, t in same)[:6]]
         best = min(set(tally), key=lambda t: (-tally.count(t), t))
         assert votes[q] == (best, tally.count(best))
+
+
+def test_word_vectors_have_parts_by_words(spark, monkeypatch):
+    """A part has at most `share` words, however many lists there are, and never fewer parts are made than asked for."""
+    from lexiforge.operators import learning
+
+    parts, plain = [], learning.Word2Vec
+    monkeypatch.setattr(learning, "Word2Vec", lambda **given: parts.append(given["numPartitions"]) or plain(**given))
+    df = spark.createDataFrame([(["a", "b", "c", "d"],)] * 30 + [(None,), ([],)], "tokens array<string>")
+    for share in (1000, 50, 12):
+        rows = learning.word_vectors(df, size=4, window=2, least=5, rounds=1, partitions=2, share=share).collect()
+        assert {r.word for r in rows} == set("abcd") and all(len(r.vec) == 4 for r in rows)
+    assert parts == [2, 3, 10]
+
+
+def test_tokens_call_no_function_for_each_word(spark):
+    from lexiforge.functions import text as T
+
+    df = spark.createDataFrame([(" Ab, c2\u00e9-\u00df. ",), ("",), ("..",), (None,), ("x",)], "t string").select(T.tokens(F.col("t")).alias("w"))
+    assert [r.w for r in df.collect()] == [["ab", "c2\u00e9", "\u00df"], [], [], None, ["x"]]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
