@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexiforge.operators.stored import Rounds
 
@@ -284,13 +285,15 @@ def _members(pairs: DataFrame, end: str, of: DataFrame) -> DataFrame:
 
 
 def reached(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """(src, dst): all unlike pairs with a path from a node of `of` (node), which are whole numbers.
+    """(src, dst): all unlike pairs with a path from a node of `of` (node).
 
-    Paths are followed between strong components, whose nodes all reach the same; only the result has
+    Nodes that are no whole numbers go by `distances`. Of others, paths are followed between strong components, whose nodes all reach the same; only the result has
     a row for each pair of nodes.
     """
     rounds = Rounds(edges.sparkSession, "reached")
     kind = edges.schema["src"].dataType
+    if not isinstance(kind, IntegralType):
+        return distances(edges, sources=of).select("src", "dst")
     edges = rounds.save(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
     known = rounds.save(strong_components(edges))
     asked = rounds.save(known.join(of.select(F.col("node").cast("long").alias("node")).distinct(), "node", "left_semi").select("node", "component"))

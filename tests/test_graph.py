@@ -99,3 +99,10 @@ def test_containment_edges(spark):
     want = {(t, x) for t, tw in terms if tw for _, w, own in defs if w and t not in own and has(tw, w) for x in own}
     got = graph.containment_edges(spark.createDataFrame(terms, "term long, words array<string>"), spark.createDataFrame(defs, "def_id long, words array<string>, defines array<long>"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_named_nodes_are_reached(spark):
+    edges = frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "string")
+    of = spark.createDataFrame([("b",)], "node string")
+    assert {tuple(r) for r in graph.descendants(edges, of).collect()} == {("b", "c"), ("b", "a"), ("b", "d")}
+    assert {tuple(r) for r in graph.ancestors(edges, of).collect()} == {("b", "a"), ("b", "c")}
