@@ -54,6 +54,8 @@ SMALL = 32
 FEW, HELPERS = 32, 16
 #: Shingles of a prefix that are compared so that a pair meets once.
 EARLIER = 24
+#: Words of 64 parity bits of a line's shingles in the prefix filter.
+PARITIES = 8
 _RUNS = rf"(?s)(?=(.{{{SPAN}}}))"
 
 
@@ -177,25 +179,40 @@ def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, signed: D
     shingles in any common order. The order is by the number of lines that hold a shingle, so
     passages that many lines share come last. Shingles of one line alone, or of no open line,
     come first and can't be shared by such a pair: they are only counted.
+
+    Each other shingle of a line turns over one of its parity bits. Where the bits of two lines
+    differ, one line has a shingle that the other lacks, so a pair of which too many differ is
+    not within the threshold and isn't written.
     """
     # Lines are exchanged, not their many shingles.
     held = some.join(texts, "line_id").select("line_id", "label", "open", F.explode(F.array(F.array_distinct(shingles(F.col("line"))))).alias("held"))
     tokens = held.select("line_id", "label", "open", F.size("held").alias("size"), F.explode("held").alias("h")).withColumn("h", F.xxhash64("h"))
     tokens = scratch.save(tokens, "tokens")
-    held_by = tokens.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where("n > 1 and any_open").drop("any_open")
-    known = tokens.join(held_by, "h").groupBy("line_id", "label", "open", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("known"))
+    # Counted where they lie, a row for each shingle of a line, not joined with counts.
+    alike = Window.partitionBy("h")
+    shared = tokens.withColumn("n", F.count("*").over(alike)).withColumn("any_open", F.max("open").over(alike)).where("n > 1 and any_open")
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6) % PARITIES
+    parities = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITIES)]
+    known = shared.groupBy("line_id", "label", "open", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("known"), *parities)
     first = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))
-    prefix = known.withColumn("first", first.cast("int")).where("first > 0").select("line_id", "label", "open", "size", F.size("known").alias("held"), F.transform(F.slice("known", F.lit(1), F.col("first")), lambda t: t["h"]).alias("ids"), F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "t"))
+    marks = [f"p{i}" for i in range(PARITIES)]
+    prefix = known.withColumn("first", first.cast("int")).where("first > 0").select("line_id", "label", "open", "size", *marks, F.size("known").alias("held"), F.transform(F.slice("known", F.lit(1), F.col("first")), lambda t: t["h"]).alias("ids"), F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "t"))
     # What a set can share if this is the first shared shingle: itself and those after it.
     prefix = prefix.withColumn("most", F.col("held") - F.col("at"))
     # A pair meets at its first shared shingle; the first EARLIER of each tell, and what they don't tell is made distinct.
-    prefix = prefix.select("line_id", "label", "open", "size", "most", F.slice("ids", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"), F.col("t.h").alias("h"))
+    prefix = prefix.select("line_id", "label", "open", "size", "held", *marks, "most", F.slice("ids", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"), F.col("t.h").alias("h"))
     # Unlike lines share short shingles: only those of one bucket meet. A line has as many keys as there are bands, twice that at most.
     keys = large.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
     prefix = scratch.save(prefix.join(_one(signed, "line_id"), "line_id").join(keys, "line_id"), "prefix")
-    other = prefix.select("h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), F.col("keys").alias("other_keys"), F.col("earlier").alias("other_earlier"), *_other())
+    other = prefix.select("h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("held").alias("other_held"), *[F.col(p).alias(f"other_{p}") for p in marks], F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), F.col("keys").alias("other_keys"), F.col("earlier").alias("other_earlier"), *_other())
     most = F.least("most", "other_most")
     fit = most >= threshold * (F.col("size") + F.col("other_size") - most) - 1e-9
+    # Shingles that are only counted are in one of the two lines; of the others at least so many are.
+    alone = F.col("size") - F.col("held") + F.col("other_size") - F.col("other_held")
+    for p in marks:
+        alone = alone + F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}")))
+    # With the coefficient t (sizes a and b) (a + b) (1 - t) / (1 + t) shingles are in one line only.
+    fit = fit & (alone <= (F.col("size") + F.col("other_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
     # Two open lines meet once.
     once = (F.col("line_id") < F.col("other")) | ~F.col("other_open")
     met = prefix.where("open").join(other, "h").where((F.col("label") != F.col("other_label")) & once & fit & _agree() & ~F.arrays_overlap("earlier", "other_earlier") & F.arrays_overlap("keys", "other_keys"))

@@ -285,6 +285,20 @@ def test_bucket_size_does_not_matter(spark):
     assert one == two and 100 < len(one) < 300
 
 
+def test_lines_that_share_a_passage_make_few_pairs(spark, monkeypatch):
+    """Lines that share a passage and some words: few of their pairs pass the prefix filter, and the near copies among them are found."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, words = some(100).strip(), ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    lines = [f"{passage} {' '.join(rng.choice(words) for _ in range(6))}" for _ in range(300)]
+    copies = [x + "." for x in lines[:20]]
+    made, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, *a: (made.append(pairs.count()), verified(pairs, *a))[1])
+    got = {r.doc_id for r in linededup.dropped_lines(table(spark, [(i, x, "en", "s") for i, x in enumerate(lines + copies)])).collect()}
+    assert set(range(300, 320)) <= got
+    assert made[-1] < 5000, made
+
+
 def test_lines_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a line of words\nand more", 7, "i", "k"), (2, "a line of words", 8, "j", "l"), (2, "a line of words", 8, "j", "l"), (None, None, 9, None, None)], "doc_id long, text string, _id int, drop string, `row` string")
     got = sorted(map(tuple, linededup.apply(df).collect()), key=str)
