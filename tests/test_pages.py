@@ -76,6 +76,12 @@ def test_xml_lookups(spark):
     assert (r.i, r.p, r.h, r.w) == (["ring"], ["one", "two it's"], True, False)
 
 
+def test_xml_lookups_are_dealt_over_tasks(spark, sf):
+    """A table in one small file is not one task."""
+    made = files.xml_lookups(spark, sf).select("p_partkey", F.spark_partition_id().alias("task"))
+    assert made.select("task").distinct().count() >= 8 and made.count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
 def test_abbreviations_and_sentences(spark):
     rng = random.Random(4)
     nouns = ["ring", "field", "map", "group", "set", "number", "proof"]
