@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators.stored import Rounds
+
 
 def tfidf(terms: DataFrame, doc: str, term: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc, term, weight) from one row for each use of a term.
 
-    weight = (1 + ln tf) (1 + ln((N + 1) / (df + 1))), divided by the document's sum. df is
-    taken over the same counts, so the rows are exchanged by document, by term and by document.
+    weight = (1 + ln tf) (1 + ln((N + 1) / (df + 1))), divided by the document's sum. df and the
+    vocabulary, a row for each term, are stored first, so that Spark knows their size and
+    broadcasts a short one. Then rows that are dealt by document already stay where they are.
     """
+    rounds = Rounds(terms.sparkSession, "tfidf")
     if vocabulary is not None:
-        terms = terms.join(vocabulary.select(term).distinct(), term, "left_semi")
+        terms = terms.join(rounds.save(vocabulary.select(term).distinct()), term, "left_semi")
     counts = terms.groupBy(doc, term).agg(F.count("*").alias("tf"))
     n = counts.agg(F.countDistinct(doc).alias("n_docs"))
-    df = counts.groupBy(term).agg(F.count("*").alias("df"))
+    df = rounds.save(counts.groupBy(term).agg(F.count("*").alias("df")))
     raw = counts.join(df, term).crossJoin(F.broadcast(n))  # one row
     raw = raw.withColumn("raw", (1 + F.log("tf")) * (1 + F.log((F.col("n_docs") + 1) / (F.col("df") + 1))))
     total = F.sum("raw").over(Window.partitionBy(doc))

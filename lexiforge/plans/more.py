@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import text as T
 from lexiforge.operators import graph, measures, ner, references, relational, sampling, sequences, stats, tfidf
 from lexiforge.plans import extra, queries
-from lexiforge.plans.queries import _USES, _WORDS, ORACLES, QUERIES, read, uses
+from lexiforge.plans.queries import _USES, _WORDS, ORACLES, QUERIES, dealt_uses, read, uses
 
 _before = set(extra.QUERIES)
 query = queries.query
@@ -37,7 +37,7 @@ def term_references(spark, sf):
     glossary = talk(spark, sf).where("size(w) > 0").select(F.col("w")[0].alias("term"), F.col("conv_id").alias("addr"), F.col("turn").alias("p_index"))
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("addr"), "text")
     paragraphs = docs.select("addr", F.posexplode(F.split("text", "\n")).alias("p_index", "p_tag")).withColumn("p_index", F.col("p_index").cast("long"))
-    found = uses(spark, sf, "doc_id").withColumnRenamed("doc_id", "addr")
+    found = dealt_uses(spark, sf).withColumnRenamed("doc_id", "addr")
     return references.term_references(glossary, paragraphs, found, most=2000).select("term", "addr", "p_index", "truid", "p_tag", "weight", "sort_key")
 
 

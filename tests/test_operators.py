@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.operators import graph, measures, ner, references, relational, sampling, sequences, stats, tfidf, vectors
+from lexiforge.plans import queries
 
 
 def one(spark, value, column):
@@ -171,6 +172,16 @@ def test_mode_needs_enough_rows(spark):
     assert {tuple(r) for r in stats.mode_of_first(rows, "g", "i", "v", 5, 5).collect()} == {("a", "en"), ("b", None)}
 
 
+def test_weights_exchange_texts_only(spark, sf):
+    """The short table of counts is broadcast: the uses of terms are not sorted and exchanged by term."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        plans = [query(spark, sf)._jdf.queryExecution().executedPlan().toString() for query in (queries.tfidf_top_terms, queries.term_lookup)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+
+
 def test_term_references(spark):
     glossary = spark.createDataFrame([("x", 1, 0), ("x", 2, 1), ("x", 2, 0), ("x", 3, 0), ("y", 1, 5)], "term string, addr long, p_index int")
     paragraphs = spark.createDataFrame([(1, 0, "p10"), (2, 0, "p20" * 10), (2, 1, "p21")], "addr long, p_index int, p_tag string")
