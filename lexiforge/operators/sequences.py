@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.operators.stats import offsets
+from lexiforge.operators.stored import Rounds
 
 
 def running_vocabulary(terms: DataFrame, place: str, term: str) -> DataFrame:
@@ -81,13 +82,15 @@ def join_phrases(rows: DataFrame, tokens: str, phrases: list[tuple[str, ...]], l
 def join_pairs(rows: DataFrame, row_id: str, tokens: str, pairs: DataFrame) -> DataFrame:
     """Adds joined: tokens with the neighbours in `pairs` (a, b) joined by '_', greedily from the left.
 
-    The pairs are met by a join, so that there may be any number of them.
+    The pairs are met by a join, so that there may be any number of them; they are stored first,
+    so that Spark knows their size and broadcasts few: then the places stay where they are.
     """
+    pairs = Rounds(rows.sparkSession, "pairs").save(pairs.select("a", "b").distinct())
     keyed = rows.withColumn("_key", F.xxhash64(row_id, tokens))
     size = F.greatest(F.size(tokens) - 1, F.lit(0))
     both = F.arrays_zip(F.slice(tokens, F.lit(1), size).alias("a"), F.slice(tokens, F.lit(2), size).alias("b"))
     places = keyed.select(row_id, "_key", F.posexplode(both).alias("at", "p")).select(F.col(row_id).alias("_id"), F.col("_key").alias("_own"), "at", "p.a", "p.b")
-    hits = places.join(pairs.select("a", "b").distinct(), ["a", "b"]).groupBy("_id", "_own").agg(F.collect_set("at").alias("_hits"))
+    hits = places.join(pairs, ["a", "b"]).groupBy("_id", "_own").agg(F.collect_set("at").alias("_hits"))
 
     def joined(words: list[str], hits: set[int]) -> str:
         out, at = [], 0
