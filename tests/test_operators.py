@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.operators import graph, measures, ner, references, relational, sampling, sequences, stats, tfidf, vectors
-from lexiforge.plans import queries
 
 
 def one(spark, value, column):
@@ -172,14 +171,15 @@ def test_mode_needs_enough_rows(spark):
     assert {tuple(r) for r in stats.mode_of_first(rows, "g", "i", "v", 5, 5).collect()} == {("a", "en"), ("b", None)}
 
 
-def test_weights_exchange_texts_only(spark, sf):
-    """The short table of counts is broadcast: the uses of terms are not sorted and exchanged by term."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+def test_weights_broadcast_a_short_vocabulary(spark):
+    """Counts of few terms are broadcast, however many uses there are, so these are not exchanged by term."""
+    uses = spark.range(200_000).select((F.col("id") % 997).alias("d"), F.concat(F.lit("t"), F.col("id") % 50).alias("t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
     try:
-        plans = [query(spark, sf)._jdf.queryExecution().executedPlan().toString() for query in (queries.tfidf_top_terms, queries.term_lookup)]
+        plan = tfidf.tfidf(uses, "d", "t")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_term_references(spark):
