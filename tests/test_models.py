@@ -170,3 +170,20 @@ def test_tokens_call_no_function_for_each_word(spark):
     df = spark.createDataFrame([(" Ab, c2\u00e9-\u00df. ",), ("",), ("..",), (None,), ("x",)], "t string").select(T.tokens(F.col("t")).alias("w"))
     assert [r.w for r in df.collect()] == [["ab", "c2\u00e9", "\u00df"], [], [], None, ["x"]]
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_the_classifier_are_cut_once(spark, tmp_path, monkeypatch):
+    """Only labelled documents are cut into words, once each, for training, scores and measures."""
+    from pyspark.sql import functions as F
+
+    from lexiforge.operators import learning
+    from lexiforge.plans import extra
+
+    words = ["alpha beta gamma delta", "kappa lambda sigma omega"]
+    spark.createDataFrame([(i, f"{words[i % 2]} w{i}") for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    cut, tokens, whole = spark.sparkContext.accumulator(0), extra.T.tokens, learning.text_classifier
+    monkeypatch.setattr(extra.T, "tokens", lambda text: tokens(F.udf(lambda x: (cut.add(1), x)[1], "string")(text)))
+    monkeypatch.setattr(learning, "text_classifier", lambda: whole(maxIter=2))
+    assert extra.clf_auc(spark, str(tmp_path)).first().auc == 1.0
+    assert cut.value == 200
