@@ -19,7 +19,9 @@ component meet HELPERS lines of it. Of those left in a bucket all pairs are cand
 buckets of at most SMALL lines their signatures are compared, each pair in the first bucket
 it shares, and only pairs that agree are written; in larger ones lines meet through an exact
 prefix filter on rare shingles, so a passage that any number of lines share makes no pairs.
-Both ways lead to the same components. Pairs whose exact Jaccard coefficient of
+Both ways lead to the same components. Sizes and parity bits of the shingle sets of lines
+that share a bucket are kept; pairs whose bits show that they can't reach the threshold go
+before their texts are met. Pairs whose exact Jaccard coefficient of
 whole shingle sets is at least `threshold` are edges; components, found by distributed
 union-find, keep their first line, by (doc_id, line number).
 
@@ -49,13 +51,14 @@ BOTH = (120, 150)
 #: Blank, the other ASCII white space and the no-break space.
 WHITE = " \t\n\x0b\f\r\xa0"
 #: In buckets of at most so many lines beside the leader signatures are compared pair by pair.
-SMALL = 32
+SMALL = 512
 #: In buckets of more than FEW lines those outside the largest component meet so many lines of it first.
 FEW, HELPERS = 32, 16
 #: Shingles of a prefix that are compared so that a pair meets once.
 EARLIER = 24
-#: Words of 64 parity bits of a line's shingles in the prefix filter.
-PARITIES = 8
+#: Words of 64 parity bits of a line's shingles.
+PARITIES = 16
+MARKS = [f"p{i}" for i in range(PARITIES)]
 _RUNS = rf"(?s)(?=(.{{{SPAN}}}))"
 
 
@@ -82,7 +85,7 @@ def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(line_id, line, n, first): each line, how often it occurs and where first; stored by line_id, so that later steps don't move it."""
     place = F.struct("doc_id", "doc_key", "line_no")
     found = _located(docs).groupBy("line_id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min(place).alias("first"))
-    return scratch.save(found, "lines", by="line_id", halves="line_id")
+    return scratch.save(found, "lines", by="line_id")
 
 
 def _signed(lines: DataFrame, drawn: bool) -> DataFrame:
@@ -123,8 +126,8 @@ def _agree() -> Column:
     return F.when(F.col("kind") == F.col("kind_b"), differ <= ROWS * BANDS - AGREE).otherwise(F.col("alone") & F.col("alone_b"))
 
 
-def _one(signed: DataFrame, name: str) -> DataFrame:
-    return signed.select(F.col("line_id").alias(name), "kind", "alone", F.col("s0").alias("a0"), F.col("s1").alias("a1"))
+def _one(signed: DataFrame, name: str, *more: str) -> DataFrame:
+    return signed.select(F.col("line_id").alias(name), "kind", "alone", F.col("s0").alias("a0"), F.col("s1").alias("a1"), *more)
 
 
 def _other() -> list[Column]:
@@ -132,6 +135,34 @@ def _other() -> list[Column]:
     return [F.col(a).alias(b) for a, b in (("kind", "kind_b"), ("alone", "alone_b"), ("a0", "b0"), ("a1", "b1"))]
 
 
+def _other_set() -> list[Column]:
+    """The size and the parity bits as those of the other line."""
+    return [F.col("size").alias("other_size"), *[F.col(p).alias(f"other_{p}") for p in MARKS]]
+
+
+def _parities() -> list[Column]:
+    """Aggregates: each hashed shingle `h` turns over one of the parity bits."""
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6) % PARITIES
+    return [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(MARKS)]
+
+
+def _differ() -> Column:
+    """So many shingles at least are in one of the two lines only: where their parity bits differ, one has a shingle that the other lacks."""
+    return sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in MARKS), F.lit(0))
+
+
+def _within(differ: Column, threshold: float) -> Column:
+    """Whether two sets of which so many shingles differ may reach the threshold t: (a + b) (1 - t) / (1 + t) differ at most for sizes a and b."""
+    return differ <= (F.col("size") + F.col("other_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def marked(signed: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(line_id, kind, alone, s0, s1, size, p0...): the signatures of the lines of `texts`, sizes and parity bits of their shingle sets."""
+    runs = texts.select("line_id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("run")).select("line_id", F.xxhash64("run").alias("h"))
+    sets = runs.groupBy("line_id").agg(F.count("*").cast("int").alias("size"), *_parities())
+    return scratch.save(signed.drop("keys").join(sets.hint("shuffle_hash"), "line_id"), "marks", by="line_id")
+
+
 def signatures(lines: DataFrame, scratch: Scratch) -> DataFrame:
     length = F.length("line")
     return scratch.save(_signed(lines.where(length > BOTH[0]), True).union(_signed(lines.where(length <= BOTH[1]), False)), "signed", by="line_id")
@@ -145,10 +176,11 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return banded.where("line_id <> leader").select("key", "leader", "line_id")
 
 
-def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree."""
-    two = _one(signed, "b").select("b", *_other())
-    return pairs.join(_one(signed, "a"), "a").join(two, "b").where(_agree()).select("a", "b").distinct()
+def _likely(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, na, nb): the pairs whose signatures agree and whose parity bits allow the threshold, and the sizes of their sets."""
+    two = _one(marks, "b", "size", *MARKS).select("b", *_other(), *_other_set())
+    met = pairs.join(_one(marks, "a", "size", *MARKS), "a").join(two, "b")
+    return met.where(_agree() & _within(_differ(), threshold)).select("a", "b", F.col("size").alias("na"), F.col("other_size").alias("nb")).distinct()
 
 
 def _runs(line: Column) -> Column:
@@ -160,9 +192,7 @@ def shingles(line: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose Jaccard coefficient of shingle sets reaches the threshold; sizes, which are short, are met first."""
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("size").alias(f"n{end}")), end)
+    """Those of the pairs (a, b, na, nb) whose Jaccard coefficient of shingle sets, of na and nb shingles, reaches the threshold."""
     pairs = pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("line").alias(f"l{end}")), end)
@@ -172,8 +202,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of an `open` line and any other of `some` (line_id, label, open), labels unlike, that may reach the threshold and share a bucket of `large` (key, line_id).
+def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, na, nb) of an `open` line and any other of `some` (line_id, label, open), labels unlike, that may reach the threshold and share a bucket of `large` (key, line_id).
 
     Two sets within the threshold share one of their first size - ceil(threshold * size) + 1
     shingles in any common order. The order is by the number of lines that hold a shingle, so
@@ -191,32 +221,26 @@ def _prefix_pairs(some: DataFrame, large: DataFrame, texts: DataFrame, signed: D
     # Counted where they lie, a row for each shingle of a line, not joined with counts.
     alike = Window.partitionBy("h")
     shared = tokens.withColumn("n", F.count("*").over(alike)).withColumn("any_open", F.max("open").over(alike)).where("n > 1 and any_open")
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6) % PARITIES
-    parities = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITIES)]
-    known = shared.groupBy("line_id", "label", "open", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("known"), *parities)
+    known = shared.groupBy("line_id", "label", "open", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("known"), *_parities())
     first = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))
-    marks = [f"p{i}" for i in range(PARITIES)]
-    prefix = known.withColumn("first", first.cast("int")).where("first > 0").select("line_id", "label", "open", "size", *marks, F.size("known").alias("held"), F.transform(F.slice("known", F.lit(1), F.col("first")), lambda t: t["h"]).alias("ids"), F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "t"))
+    prefix = known.withColumn("first", first.cast("int")).where("first > 0").select("line_id", "label", "open", "size", *MARKS, F.size("known").alias("held"), F.transform(F.slice("known", F.lit(1), F.col("first")), lambda t: t["h"]).alias("ids"), F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "t"))
     # What a set can share if this is the first shared shingle: itself and those after it.
     prefix = prefix.withColumn("most", F.col("held") - F.col("at"))
     # A pair meets at its first shared shingle; the first EARLIER of each tell, and what they don't tell is made distinct.
-    prefix = prefix.select("line_id", "label", "open", "size", "held", *marks, "most", F.slice("ids", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"), F.col("t.h").alias("h"))
+    prefix = prefix.select("line_id", "label", "open", "size", "held", *MARKS, "most", F.slice("ids", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier"), F.col("t.h").alias("h"))
     # Unlike lines share short shingles: only those of one bucket meet. A line has as many keys as there are bands, twice that at most.
     keys = large.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
-    prefix = scratch.save(prefix.join(_one(signed, "line_id"), "line_id").join(keys, "line_id"), "prefix")
-    other = prefix.select("h", F.col("line_id").alias("other"), F.col("size").alias("other_size"), F.col("held").alias("other_held"), *[F.col(p).alias(f"other_{p}") for p in marks], F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), F.col("keys").alias("other_keys"), F.col("earlier").alias("other_earlier"), *_other())
+    prefix = scratch.save(prefix.join(_one(marks, "line_id"), "line_id").join(keys, "line_id"), "prefix")
+    other = prefix.select("h", F.col("line_id").alias("other"), F.col("held").alias("other_held"), *_other_set(), F.col("most").alias("other_most"), F.col("label").alias("other_label"), F.col("open").alias("other_open"), F.col("keys").alias("other_keys"), F.col("earlier").alias("other_earlier"), *_other())
     most = F.least("most", "other_most")
     fit = most >= threshold * (F.col("size") + F.col("other_size") - most) - 1e-9
     # Shingles that are only counted are in one of the two lines; of the others at least so many are.
     alone = F.col("size") - F.col("held") + F.col("other_size") - F.col("other_held")
-    for p in marks:
-        alone = alone + F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}")))
-    # With the coefficient t (sizes a and b) (a + b) (1 - t) / (1 + t) shingles are in one line only.
-    fit = fit & (alone <= (F.col("size") + F.col("other_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    fit = fit & _within(alone + _differ(), threshold)
     # Two open lines meet once.
     once = (F.col("line_id") < F.col("other")) | ~F.col("other_open")
     met = prefix.where("open").join(other, "h").where((F.col("label") != F.col("other_label")) & once & fit & _agree() & ~F.arrays_overlap("earlier", "other_earlier") & F.arrays_overlap("keys", "other_keys"))
-    return met.select(F.col("line_id").alias("a"), F.col("other").alias("b")).distinct()
+    return met.select(F.col("line_id").alias("a"), F.col("other").alias("b"), F.col("size").alias("na"), F.col("other_size").alias("nb")).distinct()
 
 
 def _split(led: DataFrame, roots: DataFrame) -> DataFrame:
@@ -236,10 +260,12 @@ def line_roots(lines: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     signed = signatures(lines, scratch)
     led = scratch.save(_buckets(signed), "led", halves="key")
     ids = led.select("line_id").union(led.select("leader")).distinct()
-    # The lines that share a bucket with another, and the sizes of their shingle sets.
+    # The lines that share a bucket with another: what later steps ask of lines is kept of these only, text apart.
     texts = lines.select("line_id", "line").join(ids.hint("shuffle_hash"), "line_id", "left_semi")
-    texts = scratch.save(texts.select("line_id", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("size")), "texts", by="line_id")
-    stars = _likely(led.select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct(), signed)
+    texts = scratch.save(texts, "texts", by="line_id")
+    marks = marked(signed, texts, scratch)
+    scratch.drop("signed")
+    stars = _likely(led.select(F.col("line_id").alias("a"), F.col("leader").alias("b")).distinct(), marks, threshold)
     edges = scratch.save(_verified(stars, texts, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "stars")
     roots = scratch.save(components(edges, scratch, "near"), "roots")
     split = scratch.save(_split(led, roots), "split")
@@ -247,29 +273,30 @@ def line_roots(lines: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     # Half of them are drawn, half are the shortest: of lines that share a passage, those with the least beside it are near most others.
     large = split.where(F.col("n") > FEW)
     drawn = [F.max(F.struct(F.xxhash64("key", "line_id", F.lit(i)), "line_id"))["line_id"] for i in range(HELPERS // 2)]
-    of = large.where("label = most").join(texts.select("line_id", "size"), "line_id")
+    of = large.where("label = most").join(marks.select("line_id", "size").distinct(), "line_id")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "line_id"))
     shortest = of.withColumn("nth", rank).where(F.col("nth") <= HELPERS // 2).select("key", F.col("line_id").alias("a"))
     helpers = of.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("helpers")).select("key", F.explode("helpers").alias("a")).union(shortest).distinct()
     asked = large.where("label <> most").select("key", F.col("line_id").alias("b")).join(helpers, "key").select("a", "b").distinct()
-    helped = _verified(_likely(asked, signed), texts, threshold)
+    helped = _verified(_likely(asked, marks, threshold), texts, threshold)
     stars = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
     roots = scratch.save(components(scratch.save(stars.union(helped), "helped"), scratch, "nearer"), "roots2")
     split = scratch.save(_split(led, roots), "split2")
     few = split.where(F.col("n") <= small).select("key", "line_id", "label")
     # At most BANDS keys of a kind each: a pair is compared in all of its buckets, but written in the least of them only.
     shared = few.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
-    few = few.join(shared, "line_id").join(_one(signed, "line_id"), "line_id").select("key", F.col("line_id").alias("a"), F.col("label").alias("la"), "keys", "kind", "alone", "a0", "a1")
+    few = few.join(shared, "line_id").join(_one(marks, "line_id", "size", *MARKS), "line_id").select("key", F.col("line_id").alias("a"), F.col("label").alias("la"), "keys", "kind", "alone", "a0", "a1", "size", *MARKS)
     few = scratch.save(few, "few")
-    other = few.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("keys").alias("other_keys"), *_other())
-    few = few.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree() & (F.col("key") == F.array_min(F.array_intersect("keys", "other_keys")))).select("a", "b").distinct()
+    other = few.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("keys").alias("other_keys"), *_other(), *_other_set())
+    few = few.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree() & _within(_differ(), threshold) & (F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))))
+    few = few.select("a", "b", F.col("size").alias("na"), F.col("other_size").alias("nb")).distinct()
     # Those still outside meet all others of their buckets through rare shingles.
     large = split.where(F.col("n") > small)
     some = large.groupBy("line_id", "label").agg(F.max(F.col("label") != F.col("most")).alias("open"))
-    pairs = scratch.save(few.union(_prefix_pairs(some, large.select("key", "line_id"), texts, signed, threshold, scratch)).distinct(), "pairs")
+    pairs = scratch.save(few.union(_prefix_pairs(some, large.select("key", "line_id"), texts, marks, threshold, scratch)).distinct(), "pairs")
     more = _verified(pairs, texts, threshold)
     links = scratch.save(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
-    for name in ("signed", "led", "texts", "stars", "roots", "split", "helped", "roots2", "split2", "few", "tokens", "prefix", "pairs"):
+    for name in ("led", "texts", "marks", "stars", "roots", "split", "helped", "roots2", "split2", "few", "tokens", "prefix", "pairs"):
         scratch.drop(name)
     return components(links, scratch)
 
