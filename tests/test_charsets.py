@@ -48,6 +48,14 @@ def test_columns(spark):
 LONE = ["La é le de de. ", "una óí. óí. óí. ", "et de è è è è è et. ", "du. du. Ê Ê Ê du. ", "la ñ, el so s co ó. ", "CHUNGAU!! Ü.!! und Dieüauß ÖÜ.!! UND TEÄAU!! "]
 
 
+REPEATED = ["EREINSCH!! EINTZ!! DEM.!! VERSSÄ!! DIE. " * 9, "Équereç treêê avec. Vipa êieroi èç. " + "En èèé. " * 60, "ÜSCH!! STVER!! UNGACHÖ!! ERÜ,!! Ü!! FÜR!! ÜÖÜ!! " * 8, "la de èèé. " * 5]
+
+
+@pytest.mark.parametrize("text", REPEATED)
+def test_a_repeated_word_proves_no_other_alphabet(text):
+    assert charsets.decoded(text.encode("latin1"))[:2] == (text, "ISO-8859-1"), charsets.ranked(text.encode("latin1"))[:4]
+
+
 @pytest.mark.parametrize("text", LONE)
 def test_lone_accented_letters_are_western(text):
     assert charsets.decoded(text.encode("latin1"))[:2] == (text, "ISO-8859-1"), charsets.ranked(text.encode("latin1"))[:4]
