@@ -1,8 +1,10 @@
 """Chunks of sentences by a greedy tagger: its own last tags are features of the next word.
 
-Words within three places, their stems and word classes, and shape flags are hashed into one table of weights, which
-`pyspark.ml` fits as a multinomial logistic regression with the gold tags as history. Tagging runs on Arrow batches: the
-words' own scores are sums over the table, then all sentences of a batch are decoded together, place by place.
+Words within three places, their stems and word classes, and shape flags are hashed into one table of weights, which is
+fitted as a multinomial logistic regression with the gold tags as history. Each round passes over all training sentences:
+every task goes on from the last table by AdaGrad on its own sentences, then the tasks' tables are averaged by words
+(McDonald, Hall and Mann, 2010). Tagging runs on Arrow batches: the words' own scores are sums over the table, then all
+sentences of a batch are decoded together, place by place.
 
 Defined cases: a null sentence has null tags, an empty one none; a null word or class counts as an empty one; a training
 sentence without tags, or with another number of them than words, is left out; without training sentences every tag is O;
@@ -14,17 +16,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.operators.stored import Rounds
+
 REACH, OUTSIDE, MOST_TAGS = 3, "O", 100
-#: Sentences that a task tags at once.
-PART = 512
+#: Sentences that a task tags or learns from at once, and words of a stored part of the training sentences on average.
+PART, SHARE = 512, 1_000_000
+#: Words of a training step and its rate; pieces that tables are averaged in.
+STEP, RATE, PIECES = 1024, 0.1, 64
+#: Rounds end when the mean loss of a word is under GOOD, or when IDLE in a row didn't take the share LEAST off the least one.
+GOOD, IDLE, LEAST = 0.01, 4, 0.05
 #: The marker words of formulas.
 FORMULAS = ("_inline_math_", "_display_math_")
 _FLAGS = 6  # of one word: ASCII, dash, dot, all capitals, capital first, formula
@@ -35,6 +42,7 @@ def stem(word: str) -> str:
     return re.sub(r"(?<=\w{3})(?:ing|ed|ly|es|s)$", "", word.lower())
 
 
+@lru_cache(maxsize=1 << 16)
 def _known(word: str, stemmed: Callable[[str], str]) -> tuple[int, int, int]:
     """Hash of the word, hash of its stem, its flags as bits."""
     upper = word == word.upper() and word != word.lower()
@@ -65,18 +73,21 @@ def _own(words: Sequence[Sequence], classes: Sequence[Sequence], width: int, ste
         known[w] = (0, 0, 0) if w is None else _known(w, stemmed)
     for c in set(marks):
         coded[c] = 0 if c is None else zlib.crc32(c.encode())
-    table = np.array([known[w] for w in flat], dtype=np.uint64).reshape(-1, 3)
-    code = np.array([coded[c] for c in marks], dtype=np.uint64)
-    real = np.flatnonzero(np.array([w is not None for w in flat], dtype=bool))
+    # Places are worked out for each different word, then looked up.
+    table, code = np.array(list(known.values()), dtype=np.uint64).reshape(-1, 3), np.array(list(coded.values()), dtype=np.uint64)
+    at_word, at_class = {w: i for i, w in enumerate(known)}, {c: i for i, c in enumerate(coded)}
+    word_no = np.fromiter((at_word[w] for w in flat), dtype=np.int64, count=len(flat))
+    class_no = np.fromiter((at_class[c] for c in marks), dtype=np.int64, count=len(marks))
+    real = np.flatnonzero(word_no != at_word[None])
     places, kind = [], 0
     for d in range(-REACH, REACH + 1):
-        views = [table[real + d, 0], code[real + d]] + ([table[real + d, 1]] if abs(d) <= 1 else [])
-        for v in views:
-            places.append(_slot(v, kind, width))
+        views = [(table[:, 0], word_no), (code, class_no)] + ([(table[:, 1], word_no)] if abs(d) <= 1 else [])
+        for v, no in views:
+            places.append(_slot(v, kind, width)[no[real + d]])
             kind += 1
     for d in (-1, 0, 1):
         for k in range(_FLAGS):
-            places.append(_slot((table[real + d, 2] >> np.uint64(k)) & np.uint64(1), kind, width))
+            places.append(_slot((table[:, 2] >> np.uint64(k)) & np.uint64(1), kind, width)[word_no[real + d]])
             kind += 1
     # Places are counted without the gaps from here on.
     return places, np.array([a - REACH * (i + 1) for i, a in enumerate(at)], dtype=np.int64)
@@ -141,38 +152,81 @@ class Chunker:
         return F.pandas_udf(parts, "array<string>")(words, classes if with_classes else F.lit(None).cast("string"))
 
 
-def fit(rows: DataFrame, words: str, tags: str, classes: str | None = None, most: int = 20_000, width: int = 1 << 16, penalty: float = 1e-5, rounds: int = 50, stemmed: Callable[[str], str] = stem) -> Chunker:
-    """A tagger taught by sentences (words, tags): about `most` of them, drawn by their hash, each different one once. Its table has `width` places a tag and doesn't grow with the words."""
+def _learn(places: np.ndarray, gold: np.ndarray, table: np.ndarray, sums: np.ndarray) -> float:
+    """A step on some words by their places and tag numbers, which changes the table and its sums of squares; the loss before it."""
+    score = table[places].sum(axis=1)
+    score -= score.max(axis=1, keepdims=True)
+    chance = np.exp(score)
+    chance /= chance.sum(axis=1, keepdims=True)
+    each = np.arange(len(gold))
+    loss = -np.log(np.maximum(chance[each, gold], 1e-300)).sum()
+    chance[each, gold] -= 1.0
+    flat, n = places.ravel(), places.shape[1]
+    used = np.flatnonzero(np.bincount(flat, minlength=len(table)))
+    slope = np.stack([np.bincount(flat, weights=np.repeat(chance[:, k], n), minlength=len(table))[used] for k in range(table.shape[1])], axis=1)
+    sums[used] += slope * slope
+    table[used] -= RATE * slope / np.sqrt(sums[used])
+    return float(loss)
+
+
+def fit(rows: DataFrame, words: str, tags: str, classes: str | None = None, width: int = 1 << 16, penalty: float = 1e-5, rounds: int = 50, stemmed: Callable[[str], str] = stem) -> Chunker:
+    """A tagger taught by all sentences (words, tags), each different one once, in at most so many rounds. Its table has `width` places a tag and doesn't grow with the words."""
     good = rows.where(F.size(words) == F.size(tags)).where(~F.exists(tags, lambda t: t.isNull()))
     mark = F.col(classes) if classes else F.lit(None).cast("array<string>")
     good = good.select(F.col(words).alias("w"), F.col(tags).alias("t"), mark.alias("c"))
-    share = min(1.0, most / max(1, good.count()))
-    drawn = good.where(F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["w", "t"]).persist()
+    kept = Rounds(rows.sparkSession, "chunker")
+    # Words are counted here, so that sentences are dealt once; they lie in an order of their own, whatever order they came in.
+    parts = max(1, -(-(good.agg(F.sum(F.size("w"))).first()[0] or 0) // SHARE))
+    drawn = kept.save(good.repartition(parts, "w", "t").groupBy("w", "t").agg(F.min("c").alias("c")).sortWithinPartitions(F.xxhash64("w", "t"), "w", "t"))
     names = sorted(r[0] for r in drawn.select(F.explode("t")).distinct().limit(MOST_TAGS + 1).collect())
     if len(names) > MOST_TAGS:
-        drawn.unpersist()
+        kept.keep(0)
         raise ValueError(f"more than {MOST_TAGS} different tags")
     if len(names) < 2:
-        drawn.unpersist()
+        kept.keep(0)
         return Chunker(names or [OUTSIDE], np.zeros((width, 1)), np.zeros(1), stemmed)
     before, number = _history(len(names), width), {t: k for k, t in enumerate(names)}
 
-    def features(sentences: pd.Series, gold: pd.Series, marks: pd.Series) -> pd.Series:
-        given = [list(s) for s in sentences]
-        places, starts = _own(given, _classes(given, list(marks)), width, stemmed)
-        own = np.stack(places, axis=1) if places else np.zeros((0, 0), dtype=np.int64)
-        out = []
-        for s, a, g in zip(given, starts, gold):
-            seen = [len(names)] * REACH + [number[t] for t in g]
-            out.append([[*own[a + i], *(before[d][seen[REACH + i - 1 - d]] for d in range(REACH))] for i in range(len(s))])
-        return pd.Series(out, dtype=object)
-
-    made = F.pandas_udf(features, "array<array<int>>")
-    both = drawn.select(F.explode(F.arrays_zip(made("w", "t", "c").alias("f"), F.col("t").alias("t"))).alias("x"))
-    label = F.array_position(F.array(*map(F.lit, names)), F.col("x.t")) - 1
-    # Vectors have no Arrow form: a function by rows, on the drawn sentences only.
-    sparse = F.udf(lambda f: Vectors.sparse(width, *map(list, np.unique(f, return_counts=True))), VectorUDT())
-    points = both.select(sparse("x.f").alias("features"), label.cast("double").alias("label"))
-    model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=rounds).fit(points)
-    drawn.unpersist()
-    return Chunker(names, model.coefficientMatrix.toArray().T.copy(), model.interceptVector.toArray(), stemmed)
+    def points(sentences: pd.Series, gold: pd.Series, marks: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all words, that of the bias last, and their tag numbers."""
+        given, gap = [list(s) for s in sentences], [len(names)] * REACH
+        places, _ = _own(given, _classes(given, list(marks)), width, stemmed)
+        seen = np.array([n for g in gold for n in (*gap, *(number[t] for t in g))], dtype=np.int64)
+        real = np.flatnonzero(seen != len(names))
+        past = [before[d][seen[real - 1 - d]] for d in range(REACH)]
+        return np.stack([*places, *past, np.full(len(real), width)], axis=1), seen[real]
+
+    def passed(table: np.ndarray, sums: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, squares, loss, n = table.copy(), sums.copy(), 0.0, 0
+            for some in batches:
+                for begin in range(0, len(some), PART):
+                    cut = some.iloc[begin : begin + PART]
+                    places, gold = points(cut["w"], cut["t"], cut["c"])
+                    for a in range(0, len(gold), STEP):
+                        loss += _learn(places[a : a + STEP], gold[a : a + STEP], own, squares)
+                        own[:-1] *= 1 - RATE * penalty
+                    n += len(gold)
+            if n:
+                pieces = enumerate(np.array_split(np.stack([own, squares], axis=1) * n, PIECES))
+                yield pd.DataFrame([(k, p.tobytes(), loss, n) for k, p in pieces], columns=["piece", "data", "loss", "n"])
+
+        return part
+
+    def summed(some: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(d) for d in some.sort_values(["n", "loss", "data"])["data"]], axis=0)
+        return pd.DataFrame([(some["piece"].iloc[0], total.tobytes(), some["loss"].sum(), some["n"].sum())], columns=some.columns)
+
+    table, sums, best, idle = np.zeros((width + 1, len(names))), np.ones((width + 1, len(names))), np.inf, 0
+    schema = "piece int, data binary, loss double, n long"
+    for _ in range(rounds):
+        found = drawn.mapInPandas(passed(table, sums), schema).groupBy("piece").applyInPandas(summed, schema).collect()
+        n = found[0]["n"]
+        whole = np.concatenate([np.frombuffer(r["data"]) for r in sorted(found)]).reshape(width + 1, 2, len(names)) / n
+        table, sums, loss = whole[:, 0], whole[:, 1], found[0]["loss"] / n
+        idle = idle + 1 if loss > (1 - LEAST) * best else 0
+        best = min(best, loss)
+        if loss < GOOD or idle == IDLE:
+            break
+    kept.keep(0)
+    return Chunker(names, table[:width].copy(), table[width].copy(), stemmed)

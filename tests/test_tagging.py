@@ -63,6 +63,17 @@ def test_tagger_edges(spark):
         chunker.fit(spark.createDataFrame([(["a"] * 101, [str(i) for i in range(101)], None)], schema), "w", "t", width=64)
 
 
+def test_all_sentences_teach(spark, monkeypatch):
+    """What only one of many sentences shows is learnt; no sentence is left out by a draw. Its parts are several."""
+    plain = [(f"w{i}", ["a", f"w{i}", "b"], ["O", "O", "O"]) for i in range(24_000)]
+    rows = spark.createDataFrame(plain + [(f"r{i}", [f"q{i}", "q", "q"], ["B", "I", "I"]) for i in range(4)], "s string, w array<string>, t array<string>")
+    monkeypatch.setattr(chunker, "SHARE", 24_000, raising=False)
+    seen, own = spark.sparkContext.accumulator(0), chunker._own
+    monkeypatch.setattr(chunker, "_own", lambda words, *a: (seen.add(len(words)), own(words, *a))[1])
+    tagger = chunker.fit(rows, "w", "t", width=1 << 12, rounds=1)
+    assert seen.value == 24_004 and tagger.tags == ["B", "I", "O"]
+
+
 def test_taught_chunks(spark, sf):
     score = tagging.chunk_tagger_scores(spark, sf).first()
     assert score.f1 > 0.9
